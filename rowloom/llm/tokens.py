@@ -20,6 +20,7 @@ Edge cases: null or empty texts have the end id only; an empty table gives an em
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -83,6 +84,25 @@ def unpack_planes(blob: bytes) -> np.ndarray:
 
 # ---- ids
 
+# The pre-tokenizer's pattern over the characters that PLAIN lets pass: there, LETTER and NUMBER are all of Unicode's L and N.
+PLAIN = "\\t\\n\\r -~¡-¬®-ɏ‐-‧"
+LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\\s{LETTER}{NUMBER}]+|\\s+(?!\\S)|\\s+").findall
+UNUSUAL = re.compile(f"[^{PLAIN}]").search
+
+
+class _Memo(dict):
+    """Ids of pieces, filled on demand; ``old`` is the generation before."""
+
+    def __init__(self, make, old: dict):
+        self.make, self.old = make, old
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        self[piece] = found = self.make(piece) if found is None else found
+        return found
+
+
 class ByteBPE:
     """Ids of whole texts by the tokenizers library, each distinct piece encoded once and remembered.
 
@@ -90,25 +110,20 @@ class ByteBPE:
     with other than common Latin characters, or with a special token's string, go to the library whole.
     """
 
-    KEEP = 300_000  # pieces remembered in each of two generations
+    KEEP = 300_000  # pieces after which a generation becomes the old one, checked text by text
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        special = "|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.odd = regex.compile("[^\\t\\n\\r -~¡-¬®-ɏ‐-‧]" + (f"|{special}" if special else "")).search
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # The vocabulary's alphabet writes each byte as one visible character: printable Latin-1 stands for itself,
         # the other bytes, in order, are the characters from U+0100 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memo = _Memo(self._piece, {})
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -119,17 +134,14 @@ class ByteBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if self.odd(t) else self.pieces(t) for t in texts]
-        lacking = {p for x in split if x for p in x}.difference(self.new)
-        moved = [p for p in lacking if p in self.old]
-        for p in moved:
-            self.new[p] = self.old[p]
-        lacking.difference_update(moved)
-        self.new.update((p, self._piece(p)) for p in lacking)
-        get = self.new.__getitem__
-        out = [self._whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
-        if len(self.new) > self.KEEP:
-            self.old, self.new = self.new, {}
+        return [self._text(t) for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        if UNUSUAL(text) or any(x in text for x in self.special):
+            return self._whole(text)
+        out = b"".join(map(self.memo.__getitem__, PIECES(text)))
+        if len(self.memo) > self.KEEP:
+            self.memo = _Memo(self._piece, dict(self.memo))
         return out
 
 

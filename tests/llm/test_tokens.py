@@ -1,12 +1,16 @@
+import re
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from rowloom.llm import queries, tokens
 
 VOCABULARY = queries.vocabulary("byte_bpe_50k.json")
+BPE = tokens.ByteBPE(VOCABULARY)
 ODD = ["", "a", " a", "it's  'so  \n\n x", " 's''s\t\tq", "x<|endoftext|>y", "日本語 'll", "naïve café — “q”", "  z", "a\x85b\x1cc", "Ǆ ͅ ١٢", "tab\t end \n", "''''re've 've", "123abc 4 5six", "é"]
 
 
@@ -25,6 +29,31 @@ def test_pieces_match_the_library(spark):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_piece_classes_are_those_of_unicode():
+    import unicodedata
+
+    plain = [c for c in map(chr, range(0x3000)) if not tokens.UNUSUAL(c)]
+    assert len(plain) == 552
+    for c in plain:
+        kind = unicodedata.category(c)[0]
+        assert bool(re.match(f"[{tokens.LETTER}]", c)) == (kind == "L"), c
+        assert bool(re.match(f"[{tokens.NUMBER}]", c)) == (kind == "N"), c
+        assert c.isspace() == (c in " \t\n\r"), c
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab '\n\t\r.,1²éßs re-‐½", max_size=40))
+def test_any_text_matches_the_library(text):
+    assert np.frombuffer(BPE.encode([text])[0], "<u4").tolist() == BPE.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_generations_forget_nothing_wrong():
+    bpe = tokens.ByteBPE(VOCABULARY)
+    bpe.KEEP = 3
+    texts = ["a b c d e f", "a b x", "", "f e d c b a", "a b c d e f"]
+    assert bpe.encode(texts) == BPE.encode(texts)
+
+
 def test_query_matches_brute_force(spark, sf_dir):
     library = Tokenizer.from_file(VOCABULARY)
     docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
