@@ -97,6 +97,24 @@ def test_fragments_elsewhere_do_not_hide_a_passage(spark):
     assert {frozenset((r["doc_id"], r["other_doc_id"])) for r in rows} == {frozenset((100, 101))}
 
 
+def test_a_repeating_phrase_is_one_run(spark):
+    rng = random.Random(12)
+    fresh = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    phrase = fresh(3)
+    a, b = fresh(30) + phrase * 90 + fresh(20), fresh(10) + phrase * 60 + fresh(25)
+    passage = fresh(60)
+    a, b = a + passage, b + passage
+    rows = substring.passages(spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")).collect()
+    assert len(rows) == 2
+    for r in rows:
+        x, y = (a, b) if r["doc_id"] == 1 else (b, a)
+        assert brute_lcs(x[r["start_word"] : r["end_word"]], y[r["other_start"] : r["other_end"]]) == r["equal_words"]
+        assert r["run_start"] <= r["start_word"] < r["end_word"] <= r["run_end"] and r["other_run_start"] <= r["other_start"] < r["other_end"] <= r["other_run_end"]
+    loop = max(rows, key=lambda r: r["n_passages"])
+    held = 30 if loop["doc_id"] == 1 else 10
+    assert loop["n_passages"] > 1 and loop["run_start"] <= held + 3 and loop["run_end"] >= held + len(phrase) * (90 if loop["doc_id"] == 1 else 60) - 3
+
+
 def test_query_runs_whole(spark, sf_dir):
     docs = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op4_substring_dedup(spark, sf_dir).collect()
