@@ -14,6 +14,7 @@ from ..functions.values import Value, type_of
 from ..plans.ast import DatasetRef, Statement
 from ..plans.typed import where_option
 from ..sources.catalog import Catalog, Dataset
+from . import whole_order
 
 
 @dataclass
@@ -86,7 +87,7 @@ def slice_rows(frame: DataFrame, order: list[str], first: int, count: int | None
         frame = frame.orderBy(*sort).limit(first - 1 + count)
     if first == 1:
         return frame
-    return frame.withColumn("__rn", F.row_number().over(Window.orderBy(*sort))).where(F.col("__rn") >= first).drop("__rn")
+    return whole_order.number(frame, order, "__rn").where(F.col("__rn") >= first).drop("__rn")
 
 
 def read_inputs(statement: Statement, catalog: Catalog, by: list[str], generated: dict[str, Dataset]) -> Prepared:
@@ -170,7 +171,7 @@ def concatenate(statement: Statement, sources, by: list[str]) -> Prepared:
 
 def renumber(data: Dataset) -> Dataset:
     """The same rows with one number for their order."""
-    frame = data.frame.withColumn("__n", F.row_number().over(Window.orderBy(*ascending(list(data.order)))).cast("long"))
+    frame = whole_order.number(data.frame, list(data.order), "__n")
     return data.with_(frame=frame.drop(*data.order).withColumnRenamed("__n", "__o0"), order=("__o0",))
 
 
@@ -240,7 +241,7 @@ def merge_by_place(statement: Statement, sources) -> Prepared:
             if c.upper() in types and not _same_type(types[c.upper()], kind):
                 raise StepError("RUNTIME_SET_SCHEMA_INCOMPATIBLE", f"{c} has different types", "pre-evaluations", statement.text)
             types.setdefault(c.upper(), kind)
-        placed = d.frame.select(*[quoted(c).alias(f"__m{i}_{c}") for c in d.columns], F.row_number().over(Window.orderBy(*ascending(list(d.order)))).alias("__p"), F.lit(1).alias(f"__in{i}"))
+        placed = whole_order.number(d.frame, list(d.order), "__p").select(*[quoted(c).alias(f"__m{i}_{c}") for c in d.columns], "__p", F.lit(1).alias(f"__in{i}"))
         frame = placed if frame is None else frame.join(placed, "__p", "full_outer")
         if "in" in ref.options:
             hidden[ref.options["in"].upper()] = f"__in{i}"
@@ -258,7 +259,7 @@ def merge_by_place(statement: Statement, sources) -> Prepared:
 def flags(p: Prepared, statement: Statement) -> Prepared:
     """END=, on the rows as prepared."""
     if "end" in statement.data:
-        p.frame = p.frame.withColumn("__end", F.lead(F.lit(1)).over(Window.orderBy(*ascending(p.order))).isNull().cast("int"))
+        p.frame = whole_order.is_last(p.frame, p.order, "__end")
         p.hidden[statement.data["end"].upper()] = "__end"
     return p
 
@@ -277,10 +278,8 @@ def group_flags(p: Prepared, wanted: set[str]) -> Prepared:
                 group = Window.partitionBy(quoted(k)).orderBy(*ascending(at))
                 edge = F.row_number().over(group) == 1 if side == "FIRST" else F.lead(F.lit(1)).over(group).isNull()
             else:
-                whole = Window.orderBy(*ascending(p.order))
-                near = F.lag if side == "FIRST" else F.lead
-                there = near(F.lit(1)).over(whole)
-                edge = there.isNull() | ~quoted(k).eqNullSafe(near(quoted(k)).over(whole))
-            p.frame = p.frame.withColumn(f"__{side.lower()}{i}", edge)
+                p.frame = whole_order.neighbours(p.frame, p.order, [("__there", "__near", quoted(k), -1 if side == "FIRST" else 1)])
+                edge = ~F.col("__there") | ~quoted(k).eqNullSafe(F.col("__near"))
+            p.frame = p.frame.withColumn(f"__{side.lower()}{i}", edge).drop("__there", "__near")
             p.hidden[f"{side}.{k.upper()}"] = f"__{side.lower()}{i}"
     return p

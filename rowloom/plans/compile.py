@@ -17,6 +17,7 @@ from ..diagnostics import LogEntry, StepError
 from ..functions import formats
 from ..functions import values as V
 from ..functions.values import Value, lit, type_of
+from ..operators import whole_order
 from ..operators.inputs import Prepared, ascending, group_flags, need, quoted, read_inputs, resolve, slice_rows
 from ..sources.catalog import Catalog, Dataset, display_of, key_of, reserved
 from .ast import Block, Call, Literal, Name, Statement, expressions, in_statement, walk
@@ -105,7 +106,7 @@ class Step:
         self.names: dict[str, str] = {c.upper(): c for c in self.p.columns}
         self.step_names()
         if "_N_" in self.wanted:
-            self.frame = self.frame.withColumn("__n", F.row_number().over(Window.orderBy(*ascending(self.p.order))).cast("double"))
+            self.frame = whole_order.number(self.frame, self.p.order, "__n").withColumn("__n", F.col("__n").cast("double"))
         self.env["_N_"] = Value(F.col("__n"), "num")
         self.env["_ERROR_"] = lit(0.0)
         self.emissions: list[Emission] = []
@@ -170,7 +171,8 @@ class Step:
 
     def offsets(self) -> None:
         self.offset_columns: dict[tuple, Value] = {}
-        whole = Window.orderBy(*ascending(self.p.order))
+        moves: list[tuple[str, str, Column, int]] = []
+        moved: list[tuple[tuple, Value, Value, str | None]] = []
         for s in walk(self.block.statements):
             for e in in_statement(s):
                 if isinstance(e, Call) and e.name in ("lag", "lead", "shift") and e.args:
@@ -179,16 +181,21 @@ class Step:
                         raise NeedsRowLoop(f"{e.name} of an expression")
                     name, n, default = spec
                     source = self.source.get(name.upper())
-                    if (name.upper(), n, default.literal) in self.offset_columns:
+                    at = (name.upper(), n, default.literal)
+                    if at in self.offset_columns or at in [m[0] for m in moved]:
                         continue
                     if source is None:
-                        self.offset_columns[name.upper(), n, default.literal] = default
+                        self.offset_columns[at] = default
                         continue
-                    kind = V.join(source.type, default.type)
-                    moved = F.lag(source.col, -n) if n < 0 else F.lead(source.col, n) if n > 0 else None
-                    there = F.lag(F.lit(1), -n) if n < 0 else F.lead(F.lit(1), n)
-                    col = source.col if moved is None else F.when(there.over(whole).isNotNull(), V.cast(Value(moved.over(whole), source.type), kind)).otherwise(V.cast(default, kind))
-                    self.offset_columns[name.upper(), n, default.literal] = self.keep(col, kind)
+                    here = len(moves) if n else None
+                    moves += [(f"__is{here}", f"__at{here}", source.col, n)] if n else []
+                    moved.append((at, source, default, here))
+        if moves:
+            self.frame = whole_order.neighbours(self.frame, self.p.order, moves)
+        for at, source, default, here in moved:
+            kind = V.join(source.type, default.type)
+            col = V.cast(source, kind) if here is None else F.when(F.col(f"__is{here}"), V.cast(Value(F.col(f"__at{here}"), source.type), kind)).otherwise(V.cast(default, kind))
+            self.offset_columns[at] = self.keep(col, kind)
 
     def offset(self, e: Call) -> Value:
         spec = self.offset_spec(e)
@@ -270,8 +277,9 @@ class Step:
                 return
             if key in self.kept:
                 carried = v.col if guard is None else F.when(self.live(guard), v.col)
-                order = Window.orderBy(*ascending(self.p.order)).rowsBetween(Window.unboundedPreceding, 0)
-                self.env[key] = self.keep(F.last(carried, ignorenulls=True).over(order), v.type)
+                self.frame = whole_order.last_value(self.frame, self.p.order, carried, f"__v{self.counter}")
+                self.env[key] = Value(F.col(f"__v{self.counter}"), v.type)
+                self.counter += 1
                 return
             self.assign(s.data["var"], v, guard)
             return
@@ -302,8 +310,12 @@ class Step:
         if key in getattr(self, "resets", {}):
             reset, value = self.resets[key]
             partition, base = self.reset_groups(reset), V.number0(value)
-        order = Window.partitionBy(*partition).orderBy(*ascending(self.p.order)).rowsBetween(Window.unboundedPreceding, 0)
-        total = base + F.sum(step if live is None else F.when(live, step).otherwise(0.0)).over(order)
+        step = step if live is None else F.when(live, step).otherwise(0.0)
+        if partition:
+            order = Window.partitionBy(*partition).orderBy(*ascending(self.p.order)).rowsBetween(Window.unboundedPreceding, 0)
+            total = base + F.sum(step).over(order)
+        else:
+            total = base + self.running_sum(step)
         self.env[key] = self.keep(total if guard is None else F.when(guard, total), "num")
 
     def reset_groups(self, reset: Column | None) -> list[Column]:
@@ -313,8 +325,13 @@ class Step:
             raise NeedsRowLoop("a sum is reset on every row")
         if flag and str(reset) == str(V.boolean(Value(F.col(flag), "bool"))):
             return [quoted(self.p.by[0])]
-        order = Window.orderBy(*ascending(self.p.order)).rowsBetween(Window.unboundedPreceding, 0)
-        return [self.keep(F.sum(reset.cast("long")).over(order), "int").col]
+        return [self.running_sum(reset.cast("long"))]
+
+    def running_sum(self, step: Column) -> Column:
+        name = f"__v{self.counter}"
+        self.counter += 1
+        self.frame = whole_order.running_sum(self.frame, self.p.order, step, name)
+        return F.col(name)
 
     def do_if(self, s: Statement, guard: Column | None) -> None:
         hit = self.keep(V.boolean(self.eval(s.data["cond"])), "bool").col if not self.plain_flag(s) else V.boolean(self.eval(s.data["cond"]))
@@ -342,9 +359,7 @@ class Step:
         hit = self.live(guard)
         if hit is None:
             hit = F.lit(True)
-        order = Window.orderBy(*ascending(self.p.order))
-        earlier = F.max(hit.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        self.frame = self.frame.withColumn("__stop", F.coalesce(earlier, F.lit(0)))
+        self.frame = whole_order.earlier_max(self.frame, self.p.order, hit.cast("int"), "__stop").withColumn("__stop", F.coalesce("__stop", F.lit(0)))
         after = [x for x in walk(self.block.statements) if x.text and self.block.statements.index(x) > 0] if s in self.block.statements else []
         self.frame = self.frame.where("__stop = 0")
         if after and self.block.statements[-1] is not s and guard is None:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..diagnostics import StepError
 from ..functions import values as V
 from ..functions.values import Value, lit
+from ..operators import whole_order
 from ..operators.inputs import ascending, quoted
 from ..sources.catalog import Dataset, key_of
 from .ast import Call, Literal, Name, expressions, in_statement, walk
@@ -69,7 +70,7 @@ def run_loop(step) -> dict[str, Dataset]:
     called = {e.args[0].value for s in walk(step.block.statements) for e in in_statement(s) if isinstance(e, Call) and e.name == "apply" and e.args and isinstance(e.args[0], Literal)}
     frame = step.p.frame
     if "_N_" in step.wanted:
-        frame = frame.withColumn("__n", F.row_number().over(step_window(step)).cast("double"))
+        frame = whole_order.number(frame, step.p.order, "__n").withColumn("__n", F.col("__n").cast("double"))
     stateless = step.where is not None and not any(isinstance(e, Call) and e.name in ("lag", "lead", "shift") for e in expressions(step.where.data["expr"])) and not ({e.name.upper() for e in expressions(step.where.data["expr"]) if isinstance(e, Name)} & set(step.names) - set(step.source))
     if stateless:
         frame = frame.where(V.boolean(step.eval(step.where.data["expr"])))

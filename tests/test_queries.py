@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from rowloom import queries
+from rowloom.operators import whole_order
 
 SF = "/root/testdata/sf0.01"
 
@@ -38,3 +39,15 @@ def test_matches_sql(spark, db, name):
         assert sorted(want.columns) == columns
         at = [want.columns.index(c) for c in columns]
         assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
+
+
+WHOLE = ["by_two_keys", "sum_global", "retain_last", "lag_lead_shift", "auto_n", "stop_step", "end_flag", "merge_ordinal", "set_concat", "row_loop"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_matches_sql_in_blocks(spark, db, name):
+    spark.conf.set(whole_order.SINGLE_TASK, "0")
+    try:
+        test_matches_sql(spark, db, name)
+    finally:
+        spark.conf.unset(whole_order.SINGLE_TASK)
