@@ -107,7 +107,7 @@ def run_loop(step) -> dict[str, Dataset]:
         kind = step.types[k] if k in step.types and kinds.get(k) == step.source[k].type else _SPARK[kinds.get(k, "null")]
         schema = schema.add(f"v{i}", kind)
     schema_json = schema.json()
-    program = Program(step.block.statements, step.arrays, [k for k, _ in names], [n.upper() for n in step.retained], step.initial if step.options.retain_initial else {}, set(step.source), step.formats, {k: f for k, f in step.functions.items() if k in called}, step.explicit, step.default, list(step.refs), None if stateless or step.where is None else step.where.data["expr"])
+    program = Program(step.block.statements, step.arrays, [k for k, _ in names], [n.upper() for n in step.retained], step.initial if step.options.retain_initial else {}, set(step.source), step.formats, {k: f for k, f in step.functions.items() if k in called}, step.explicit, step.default, list(step.refs), None if stateless or step.where is None else step.where.data["expr"], frame.sparkSession.conf.get("spark.sql.session.timeZone"))
     layout = {"source": [(c.upper(), inner[c]) for c in source], "hidden": list(hidden), "n": "_N_" in step.wanted, "offsets": offsets}
     for s in walk(step.block.statements):
         for t in s.data.get("targets", ()) if s.kind == "output" else ():

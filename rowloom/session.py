@@ -120,13 +120,15 @@ class Session:
 
     # ---- programs
 
-    def submit(self, code: str, backend: str = "auto", functions: dict | None = None, eager: bool = False, **datasets) -> SubmitResult:
+    def submit(self, code: str, backend: str = "auto", functions: dict | None = None, eager: bool = False, caller_depth: int = 1, **datasets) -> SubmitResult:
         """Plan the steps of ``code``; outputs are lazy unless ``eager``. On an error no output of the call is published."""
         log: list[LogEntry] = []
         times: list[tuple[str, float]] = []
         generated: dict[str, Dataset] = {}
         began = time.time()
-        caller = inspect.currentframe().f_back
+        caller = inspect.currentframe()
+        for _ in range(caller_depth):
+            caller = caller.f_back
         found = {k: v for k, v in {**caller.f_globals, **caller.f_locals}.items() if callable(v) and not isinstance(v, type)} | (functions or {})
         try:
             if backend not in MODES:
@@ -156,7 +158,7 @@ class Session:
     run = submit
 
     def include(self, path: str, **options) -> SubmitResult:
-        return self.submit(Path(path).read_text(encoding="utf-8"), **options)
+        return self.submit(Path(path).read_text(encoding="utf-8"), caller_depth=2, **options)
 
     # ---- column helpers
 
@@ -290,7 +292,7 @@ class DatasetView:
 
 def run(code: str, spark: SparkSession | None = None, functions: dict | None = None, **datasets) -> SubmitResult:
     """One program in a session of its own."""
-    return Session(spark).submit(code, functions=functions, **datasets)
+    return Session(spark).submit(code, functions=functions, caller_depth=2, **datasets)
 
 
 submit = run

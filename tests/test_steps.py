@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import pytest
@@ -171,3 +172,31 @@ def test_sql(s):
     assert "o" not in s.datasets
     with pytest.raises(KeyError):
         s.sql("drop table o")
+
+
+def test_formats_in_the_row_loop_are_those_of_columns(s, spark):
+    s.register_format("grade", {1: "one", 2: "two"})
+    s.register_format("$code", {"a": "Alpha"})
+    s.register_informat("level", {"low": 1, "high": 9})
+    made = ["put(x, 8.2)", "put(x, z8.1)", "put(x, comma12.2)", "put(x, best.)", "put(k, grade.)", "put(t, $code.)", "put(d, yymmdd10.)", "put(d, yymmdd6.)", "put(ts, e8601dt.)", "put(ts, time.)",
+            "input(n, best.)", "input(lv, level.)", "input(dd, yymmdd8.)", "input(d6, yymmdd6.)", "input(tt, e8601dt.)", "hour(ts)", "hour(c)"]
+    body = " ".join(f"r{i} = {e};" for i, e in enumerate(made))
+    names = " ".join(f"r{i}" for i in range(len(made)))
+    day = dt.datetime(2024, 3, 5, 14, 30, 15)
+    data = table("x k t d ts n lv dd d6 tt c", (1234.565, 1, "a", day.date(), day, " 12.5 ", "low", "20240229", "240229", "2024-02-29T01:02:03", "10:45"), (-0.125, 3, "b", None, None, "", "none", "", "", "", None), (None, 2, None, day.date(), day, "7", "high", "19991231", "991231", "1999-12-31T23:59:59", "23:59:59"))
+    plain = ok(s, f"data out; set a; {body} keep {names}; run;", a=data)
+    looped = ok(s, f"data out; set a; {body} w = lag(x * 1); keep {names}; run;", a=data)
+    assert looped == plain and len(plain) == 3
+
+
+def doubled(x: float) -> float:
+    return x * 2
+
+
+def test_module_level_run_sees_the_callers_functions(spark):
+    from rowloom import session
+
+    local = lambda x: x + 100.0
+    r = session.run("data out; set a; p = apply('local', id); q = apply('doubled', id); keep p q; run;", spark, a=table("id", (1,), (2,)))
+    assert r, r.render()
+    assert local and [tuple(x) for x in r.datasets["out"].collect()] == [(101.0, 2.0), (102.0, 4.0)]
