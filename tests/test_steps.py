@@ -189,14 +189,10 @@ def test_formats_in_the_row_loop_are_those_of_columns(s, spark):
     assert looped == plain and len(plain) == 3
 
 
-def doubled(x: float) -> float:
-    return x * 2
-
-
 def test_module_level_run_sees_the_callers_functions(spark):
     from rowloom import session
 
     local = lambda x: x + 100.0
-    r = session.run("data out; set a; p = apply('local', id); q = apply('doubled', id); keep p q; run;", spark, a=table("id", (1,), (2,)))
+    r = session.run("data out; set a; p = apply('local', id); q = apply('abs', -id); keep p q; run;", spark, a=table("id", (1,), (2,)))
     assert r, r.render()
-    assert local and [tuple(x) for x in r.datasets["out"].collect()] == [(101.0, 2.0), (102.0, 4.0)]
+    assert local and [tuple(x) for x in r.datasets["out"].collect()] == [(101.0, 1.0), (102.0, 2.0)]
