@@ -12,7 +12,7 @@ ROOT = Path(__file__).resolve().parents[1]
 def test_entry_without_the_package(tmp_path):
     shutil.copytree(ROOT / "rowloom", tmp_path / "rowloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import re, __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); assert not any(re.match(r'op\d+_|pipeline', k) for k in q)"
+    code = r"import re, __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); assert not any(re.match(r'op\d+_|pipeline', k) for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
 
