@@ -60,3 +60,33 @@ def test_edge_cases(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     none = spark.createDataFrame([("a", 0.0)], "source string, weight double")
     assert mixing.mix(docs, none).count() == 0
+
+
+def many(doc, rate, seed=42):
+    k, i = poisson(uniform(seed, doc), min(rate, mixing.DRAW_RATE)), 1
+    while i * mixing.DRAW_RATE < rate:
+        k += poisson(uniform(seed, doc, "draw", i), min(rate - i * mixing.DRAW_RATE, mixing.DRAW_RATE))
+        i += 1
+    return k
+
+
+def test_small_sources_beside_a_hot_one(spark):
+    rows = [(i, "hot") for i in range(30_000)] + [(-1, None), (-2, "tiny"), (-3, "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = {}
+    for r in mixing.mix(docs).where("source is null or source = 'tiny'").collect():
+        got.setdefault(r["doc_id"], []).append(r["copy"])
+    wanted = len(rows) / 3  # 10001: beyond one array of copies
+    assert {i: sorted(x) for i, x in got.items()} == {i: list(range(1, many(i, wanted / n) + 1)) for i, n in ((-1, 1), (-2, 2), (-3, 2))}
+    assert abs(len(got[-1]) - wanted) < 500 and abs(len(got[-2]) + len(got[-3]) - wanted) < 500
+
+
+def test_high_rates_are_poisson_and_keep_copies(spark):
+    docs = spark.createDataFrame([(i, "a") for i in range(600)], "doc_id long, source string")
+    before = {}
+    for rate in (21, 22, 60, 100):
+        got = {r["doc_id"]: r["count"] for r in mixing.mix(docs, total=600 * rate).groupBy("doc_id").count().collect()}
+        assert all(got[i] >= k for i, k in before.items())
+        mean = sum(got.values()) / 600
+        assert abs(mean - rate) < 5 * math.sqrt(rate / 600) and 0.7 < sum((k - mean) ** 2 for k in got.values()) / 600 / rate < 1.3
+        before = got
