@@ -1,14 +1,16 @@
 """Main text of web pages: page structure, and line differences between neighbours by URL.
 
 Pages of a host are sorted by URL path and each is paired with the neighbour whose path agrees longest. The text lines
-of the two are aligned by longest common subsequence; lines they share are page furniture and are deleted. Lines
-inside ``article`` or ``main`` are the page's own by its author's word: those are kept even if shared (copies of an
-article must not erase each other). Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are recognised by element, role and class and go wherever they stand.
+of the two are aligned by longest common subsequence; lines they share are page furniture and are deleted, wherever
+they stand. Lines inside ``article`` or ``main`` guard against copies only: a neighbour that shares more than half of
+those of a page is a copy of it, so the other neighbour decides, and if both are copies the lines inside stay (copies of
+an article must not erase each other). A page that has no neighbour keeps the lines inside, if any, and else all. Menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are recognised by element, role
+and class and go wherever they stand; so do lines outside ``article`` and ``main`` that are all link.
 
 White space inside a line becomes one space; lines are joined by one. Character references are decoded. Edge cases: null
 or empty html gives an empty text; pages without a host are paired like a host; a single page on a host has no
-neighbour and keeps its lines; equal rows are neighbours of other pages, not of each other's text (a neighbour with
+neighbour; equal rows are neighbours of other pages, not of each other's text (a neighbour with
 the same lines is passed over); unclosed and mismatched tags are tolerated; extra columns do not matter.
 """
 
@@ -20,7 +22,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -39,6 +41,7 @@ WORDS = frozenset(
     "share sharing social related recommended newsletter subscribe signup login search widget pagination pager toolbar copyright skip".split()
 )
 HEADS = frozenset("header masthead topbar".split())
+BROADCAST_BYTES = 100_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -168,12 +171,12 @@ def common_lines(a: list, b: list) -> list[int]:
     return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
-PARSED = "page_id long, url string, host string, path string, own string, texts array<string>, link_only array<boolean>, hashes array<long>"
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("own", pa.string()), ("texts", pa.list_(pa.string())), ("link_only", pa.list_(pa.bool_())), ("hashes", pa.list_(pa.int64()))])
+PARSED = "page_id long, url string, host string, path string, texts array<string>, inside array<boolean>, link_only array<boolean>, hashes array<long>"
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("texts", pa.list_(pa.string())), ("inside", pa.list_(pa.bool_())), ("link_only", pa.list_(pa.bool_())), ("hashes", pa.list_(pa.int64()))])
 
 
 def _parse(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
-    """Each page's lines. A page with article or main has its text in ``own``; others have their lines in ``texts``."""
+    """Each page's lines: text, whether inside article or main, whether all link and outside these, hash."""
     rows = pages.select(F.col(f"`{page_id}`").cast("long"), F.col(f"`{url}`"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"), F.col(f"`{html}`"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +187,8 @@ def _parse(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
                 some, out = batch.slice(at, 256), []
                 for p, u, h, path, page in zip(*(some.column(i).to_pylist() for i in range(5)), strict=True):
                     lines = lines_of(page or "")
-                    own = [t for t, inside, _ in lines if inside]
-                    hashes = [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _, _ in lines]
-                    row = {"page_id": p, "url": u, "host": h, "path": path, "hashes": hashes}
-                    row |= {"own": " ".join(own), "texts": [], "link_only": []} if own else {"own": None, "texts": [t for t, _, _ in lines], "link_only": [x for _, _, x in lines]}
+                    row = {"page_id": p, "url": u, "host": h, "path": path, "texts": [t for t, _, _ in lines], "inside": [x for _, x, _ in lines]}
+                    row |= {"link_only": [x and not y for _, y, x in lines], "hashes": [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _, _ in lines]}
                     out.append(row)
                 yield pa.RecordBatch.from_pylist(out, schema=_PARSED)
 
@@ -203,48 +204,78 @@ def _agree(a: str, b: str) -> int:
     return n
 
 
+def _borders(ordered: DataFrame, at: Column) -> tuple[dict, list, list]:
+    """The number of each range by its first place, and for each range the page before its first page and after its last one.
+
+    None where it has the same lines.
+    """
+    page = F.struct(at, "hashes")
+    rim = sorted(ordered.groupBy("range").agg(F.min(page).alias("first"), F.max(page).alias("last")).collect(), key=lambda r: r["range"])
+    if not rim:
+        return {}, [], []
+    plain = lambda x: x and (tuple(x[0]), tuple(x[1]))
+    firsts, lasts = [plain(r["first"]) for r in rim], [plain(r["last"]) for r in rim]
+    n = len(rim)
+    before: list = [None] * n
+    after: list = [None] * n
+    for i in range(1, n):
+        before[i] = lasts[i - 1] if not _alike(lasts[i - 1], firsts[i]) else None
+    for i in range(n - 2, -1, -1):
+        after[i] = firsts[i + 1] if not _alike(firsts[i + 1], lasts[i]) else None
+    return {first[0]: i for i, first in enumerate(firsts)}, before, after
+
+
+def _alike(a: tuple, b: tuple) -> bool:
+    return a[0][0] == b[0][0] and a[1] == b[1]
+
+
+def _shared(before: tuple | None, run: list, after: tuple | None) -> Iterator[dict]:
+    """``row`` and ``shared`` of those pages of a run of equal ones that are not left as they are. ``run``: (place, lines, inside)."""
+    near = [x for x in (before, after) if x and x[0][0] == run[0][0][0] and not _alike(x, run[0])]
+    lines = list(run[0][1])
+    common: dict = {}
+    for (_, path, row), _, inside in run if near and lines else ():
+        shared = None
+        for x in sorted(near, key=lambda x: -_agree(path, x[0][1])):
+            if x[0] not in common:
+                common[x[0]] = common_lines(lines, list(x[1]))
+            own = sum(inside[i] for i in common[x[0]])
+            if 2 * own <= sum(inside):
+                shared = common[x[0]]
+                break
+            if shared is None:
+                shared = [i for i in common[x[0]] if not inside[i]]
+        if shared or any(inside) and not all(inside):
+            yield {"row": row, "shared": shared}
+
+
 def _difference(rows: DataFrame) -> DataFrame:
-    """``rows``: row, host, path, hashes. Gives ``row`` and the places of lines it shares with its nearest neighbour."""
+    """``rows``: row, host, path, hashes, inside. Gives ``row`` and the places of lines to delete as shared with the nearest neighbour."""
     ordered = materialise(rows.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row").withColumn("range", F.spark_partition_id()), "by-url")
-    at = F.struct("host", "path", "row")
-    # The first and last page of each range: two rows a range, for neighbours across a border.
-    rim = ordered.groupBy("range").agg(F.min(F.struct(at, "hashes")).alias("first"), F.max(F.struct(at, "hashes")).alias("last")).collect()
-    rim = [(tuple(x[0]), tuple(x[1])) for r in sorted(rim, key=lambda r: r["range"]) for x in (r["first"], r["last"])]
-    firsts, lasts = rim[0::2], rim[1::2]
-    number = {first[0]: i for i, first in enumerate(firsts)}
+    number, befores, afters = _borders(ordered, F.struct("host", "path", "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pages():
-            for batch in batches:
-                for h, p, r, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    yield (h, p, r), tuple(x)
-
-        def shared(before, page, after):
-            (host, path, row), lines = page
-            near = [x for x in (before, after) if x and x[0][0] == host and x[1] != lines]
-            if not near or not lines:
-                return None
-            best = max(near, key=lambda x: _agree(path, x[0][1]))
-            return {"row": row, "shared": common_lines(list(lines), list(best[1]))}
-
-        window: list = [None]
-        out, i = [], None
-        for page in pages():
-            if i is None:
-                i = number[page[0]]
-                window = [lasts[i - 1] if i else None]
-            window.append(page)
-            if len(window) == 3:
-                out.append(shared(*window))
-                window.pop(0)
-            if len(out) >= 1000:
-                yield pa.RecordBatch.from_pylist([x for x in out if x], schema=_SHARED)
-                out = []
-        if len(window) == 2:
-            out.append(shared(*window, firsts[i + 1] if i + 1 < len(firsts) else None))
-        yield pa.RecordBatch.from_pylist([x for x in out if x], schema=_SHARED)
-
-    one = ordered.select("host", "path", "row", "hashes", "range").repartition("range").sortWithinPartitions("range", "host", "path", "row")
+        out: list = []
+        same: list = []
+        i, before = None, None
+        for batch in batches:
+            for h, p, r, x, inside in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5)), strict=True):
+                page = ((h, p, r), tuple(x), inside)
+                if i is None:
+                    i = number[page[0]]
+                    before = befores[i]
+                if same:
+                    out.extend(_shared(before, same, page))
+                    before, same = same[-1], []
+                same.append(page)
+                if len(out) >= 1000:
+                    yield pa.RecordBatch.from_pylist(out, schema=_SHARED)
+                    out = []
+        if same:
+            out.extend(_shared(before, same, afters[i]))
+        yield pa.RecordBatch.from_pylist(out, schema=_SHARED)
+
+    one = ordered.select("host", "path", "row", "hashes", "range", "inside").repartition("range").sortWithinPartitions("range", "host", "path", "row")
 
     def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _each_range(batches, run)
@@ -284,10 +315,10 @@ def _cut(batches: Iterator[pa.RecordBatch]):
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row a page: page_id, url, text, n_chars, n_lines (lines outside page furniture)."""
     parsed = materialise(_parse(pages, page_id, url, html).withColumn("row", F.monotonically_increasing_id()), "parsed")
-    shared = _difference(parsed.select("host", "path", "row", "hashes"))
-    rows = parsed.select("row", "page_id", "url", "own", "texts", "link_only", F.size("hashes").alias("n_lines"))
-    done = rows.where("own is not null").select("row", "page_id", "url", F.col("own").alias("text"), "n_lines")
-    kept = F.filter(F.col("texts"), lambda t, i: ~F.coalesce(F.array_contains("shared", i), F.lit(False)) & ~F.get("link_only", i))
-    open_ = rows.where("own is null").join(shared, "row", "left").select("row", "page_id", "url", F.array_join(kept, " ").alias("text"), "n_lines")
-    both = done.union(open_)
-    return both.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines")
+    shared = materialise(_difference(parsed.select("host", "path", "row", "hashes", "inside")), "shared")
+    if (shared.agg(F.sum(F.size("shared") * 4 + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        shared = F.broadcast(shared)  # checked: so few bytes; the texts need no shuffle then
+    rows = parsed.select("row", "page_id", "url", "texts", "inside", "link_only", F.size("hashes").alias("n_lines")).join(shared, "row", "left")
+    guarded = F.col("shared").isNull() & F.array_contains("inside", True)
+    kept = F.filter(F.col("texts"), lambda t, i: F.when(guarded, F.get("inside", i)).otherwise(~F.coalesce(F.array_contains("shared", i), F.lit(False)) & ~F.get("link_only", i)))
+    return rows.select("page_id", "url", F.array_join(kept, " ").alias("text"), "n_lines").select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines")

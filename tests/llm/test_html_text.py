@@ -82,3 +82,19 @@ def test_edge_cases(spark):
     got = sorted((r["page_id"] or 0, r["n_chars"]) for r in html_text.extract(docs).collect())
     assert got == [(0, 1), (0, 1), (1, 0), (2, 0), (5, 299_999)]
     assert html_text.extract(docs.limit(0)).count() == 0
+
+
+def extracted(spark, rows, parts=None):
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_text.extract(docs.repartition(parts) if parts else docs).collect()}
+
+
+def test_differencing_decides_inside_articles(spark):
+    page = lambda *own: "<body><article>" + "".join(f"<p>{x}</p>" for x in ("Share this text", *own, "Written by us")) + "</article><div>About us</div></body>"
+    rows = [(i, f"http://h/{i}", page(f"one {i}", f"two {i}", f"three {i}")) for i in range(10, 30)]
+    rows += [(1, "http://lone/x", page("a")), (2, "http://copies/a", page("a", "b", "c")), (3, "http://copies/b", page("a", "b", "d"))]
+    want = {i: f"one {i} two {i} three {i}" for i in range(10, 30)} | {1: "Share this text a Written by us"}
+    want |= {2: "Share this text a b c Written by us", 3: "Share this text a b d Written by us"}
+    assert extracted(spark, rows) == want
+    near = [(4, "http://copies/az", page("x", "y", "z"))]  # nearer to 2; not a copy of 2 or 3
+    assert extracted(spark, rows + near) == want | {2: "a b c", 3: "a b d", 4: "x y z"}
