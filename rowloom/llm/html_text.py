@@ -10,8 +10,8 @@ and class and go wherever they stand; so do lines outside ``article`` and ``main
 
 White space inside a line becomes one space; lines are joined by one. Character references are decoded. Edge cases: null
 or empty html gives an empty text; pages without a host are paired like a host; a single page on a host has no
-neighbour; equal rows are neighbours of other pages, not of each other's text (a neighbour with
-the same lines is passed over); unclosed and mismatched tags are tolerated; extra columns do not matter.
+neighbour; pages with the same lines are neighbours of other pages, not of each other: however many stand in a row, each
+is paired with the last different page before or the first after them; unclosed and mismatched tags are tolerated; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -207,21 +207,25 @@ def _agree(a: str, b: str) -> int:
 def _borders(ordered: DataFrame, at: Column) -> tuple[dict, list, list]:
     """The number of each range by its first place, and for each range the page before its first page and after its last one.
 
-    None where it has the same lines.
+    These are the nearest pages that have other lines than the range's first (last) page, past whole ranges of equal ones.
     """
-    page = F.struct(at, "hashes")
+    page = F.struct(at, "hashes", "kind")
     rim = sorted(ordered.groupBy("range").agg(F.min(page).alias("first"), F.max(page).alias("last")).collect(), key=lambda r: r["range"])
     if not rim:
         return {}, [], []
+    ends = ordered.sparkSession.createDataFrame([(r["range"], r["first"]["kind"], r["last"]["kind"]) for r in rim], "range int, f long, l long")
+    other = ordered.join(F.broadcast(ends), "range").groupBy("range").agg(F.min(F.when(F.col("kind") != F.col("f"), page)).alias("second"), F.max(F.when(F.col("kind") != F.col("l"), page)).alias("penult")).collect()
+    inner = {r["range"]: r for r in other}
     plain = lambda x: x and (tuple(x[0]), tuple(x[1]))
     firsts, lasts = [plain(r["first"]) for r in rim], [plain(r["last"]) for r in rim]
+    seconds, penults = ([plain(inner[r["range"]][c]) for r in rim] for c in ("second", "penult"))
     n = len(rim)
     before: list = [None] * n
     after: list = [None] * n
     for i in range(1, n):
-        before[i] = lasts[i - 1] if not _alike(lasts[i - 1], firsts[i]) else None
+        before[i] = lasts[i - 1] if not _alike(lasts[i - 1], firsts[i]) else penults[i - 1] or before[i - 1]
     for i in range(n - 2, -1, -1):
-        after[i] = firsts[i + 1] if not _alike(firsts[i + 1], lasts[i]) else None
+        after[i] = firsts[i + 1] if not _alike(firsts[i + 1], lasts[i]) else seconds[i + 1] or after[i + 1]
     return {first[0]: i for i, first in enumerate(firsts)}, before, after
 
 
@@ -231,7 +235,7 @@ def _alike(a: tuple, b: tuple) -> bool:
 
 def _shared(before: tuple | None, run: list, after: tuple | None) -> Iterator[dict]:
     """``row`` and ``shared`` of those pages of a run of equal ones that are not left as they are. ``run``: (place, lines, inside)."""
-    near = [x for x in (before, after) if x and x[0][0] == run[0][0][0] and not _alike(x, run[0])]
+    near = [x for x in (before, after) if x and x[0][0] == run[0][0][0]]
     lines = list(run[0][1])
     common: dict = {}
     for (_, path, row), _, inside in run if near and lines else ():
@@ -251,7 +255,8 @@ def _shared(before: tuple | None, run: list, after: tuple | None) -> Iterator[di
 
 def _difference(rows: DataFrame) -> DataFrame:
     """``rows``: row, host, path, hashes, inside. Gives ``row`` and the places of lines to delete as shared with the nearest neighbour."""
-    ordered = materialise(rows.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row").withColumn("range", F.spark_partition_id()), "by-url")
+    kinds = rows.withColumn("kind", F.xxhash64("host", "hashes"))
+    ordered = materialise(kinds.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row").withColumn("range", F.spark_partition_id()), "by-url")
     number, befores, afters = _borders(ordered, F.struct("host", "path", "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +269,7 @@ def _difference(rows: DataFrame) -> DataFrame:
                 if i is None:
                     i = number[page[0]]
                     before = befores[i]
-                if same:
+                if same and not _alike(same[0], page):
                     out.extend(_shared(before, same, page))
                     before, same = same[-1], []
                 same.append(page)

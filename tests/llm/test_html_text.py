@@ -98,3 +98,11 @@ def test_differencing_decides_inside_articles(spark):
     assert extracted(spark, rows) == want
     near = [(4, "http://copies/az", page("x", "y", "z"))]  # nearer to 2; not a copy of 2 or 3
     assert extracted(spark, rows + near) == want | {2: "a b c", 3: "a b d", 4: "x y z"}
+
+
+def test_differencing_past_runs_of_equal_pages(spark):
+    page = lambda own: f"<body><div>Welcome to the site</div><p>{own}</p><div>All rights reserved</div></body>"
+    rows = [(i, f"http://h/b/{i:03}", page("copied text")) for i in range(200)] + [(500, "http://h/a", page("before")), (600, "http://h/c", page("after"))]
+    want = {i: "copied text" for i in range(200)} | {500: "before", 600: "after"}
+    for parts, lone in ((1, rows), (4, rows), (4, rows[:-1]), (4, [r for r in rows if r[0] != 500])):
+        assert extracted(spark, lone, parts) == {i: want[i] for i, _, _ in lone}
