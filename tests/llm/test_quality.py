@@ -51,6 +51,12 @@ def test_clean_documents_stay(spark, sf_dir):
     assert sum(r["kept"] for r in rows) >= 0.98 * len(rows)
 
 
+def test_labelled_junk_goes(spark):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = [r for r in queries.op10_quality_rules(spark, "/root/testdata/sf0.01").collect() if not r["base_failed"] and labels.get(r["doc_id"]) == 0]
+    assert sum(not r["kept"] for r in rows) >= 0.6 * len(rows) > 0
+
+
 def test_bands_reject(spark):
     import random
 
