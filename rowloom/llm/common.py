@@ -19,9 +19,11 @@ SLICE_BYTES = 2 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset and all run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rowloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -80,18 +82,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            table = np.full(size, base, U64)
-            table[0] = 1
-            _powers[i] = np.multiply.accumulate(table)
-    return _powers
+LONG_WORD = 256  # bytes from which words are hashed one by one
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,7 +95,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of several texts: byte ranges, 64-bit hashes, and for each text the range of its words."""
+    """Words of several texts: byte ranges, XXH64 hashes, and for each text the range of its words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True):
         self.data = _LOWER[data] if lower else data
@@ -124,10 +115,7 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         if hashes:
-            power, inverse = _power_tables(n + 1)
-            total = np.zeros(n + 1, U64)
-            np.cumsum((self.data.astype(U64) + U64(1)) * power[:n], out=total[1:])
-            self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start])
+            self.hash = word_hashes(self.data, self.start, self.end - self.start)
 
     def text_of(self) -> np.ndarray:
         """For each word the number of its text."""
@@ -206,6 +194,19 @@ def xxh64(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 42)
         return h ^ (h >> U64(32))
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """XXH64 (seed 0) of each word."""
+    long = np.flatnonzero(size > LONG_WORD)
+    if not len(long):
+        return xxh64(data, start, size, 0)
+    import xxhash
+
+    out = xxh64(data, start, np.where(size > LONG_WORD, 0, size), 0)
+    for i in long:
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + size[i]].tobytes())
+    return out
+
+
 def bits_per_text(h: np.ndarray, count: np.ndarray, longest: int = 60_000) -> np.ndarray:
     """How often each of 64 bits is set in each text's hashes (``count`` hashes a text, in order): n x 64.
 
