@@ -6,6 +6,7 @@ import numpy as np
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 CELLS = 1 << 16  # cells of one anti-diagonal over all pairs of a batch
+PADDED = 1 << 20  # words of all padded sequences of a batch
 
 
 def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -15,9 +16,13 @@ def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     todo.sort(key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
     at = 0
     while at < len(todo):
-        take = [todo[at]]
-        while at + len(take) < len(todo) and (len(take) + 1) * (len(pairs[todo[at + len(take)]][0]) + 1) <= CELLS:
+        take, longest = [todo[at]], len(pairs[todo[at]][1])
+        while at + len(take) < len(todo):
+            a, b = pairs[todo[at + len(take)]]
+            if (len(take) + 1) * (len(a) + 1) > CELLS or (len(take) + 1) * (max(longest, len(b)) + 2 * len(a)) > PADDED:
+                break
             take.append(todo[at + len(take)])
+            longest = max(longest, len(b))
         out[take] = _batch([pairs[i] for i in take])
         at += len(take)
     return out

@@ -1,15 +1,21 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-1. All four-word grams of the test items go into a bit map (one bit a hash). Its size follows their number up to
-   2^28 bits, so that 32 MB at most are broadcast; beyond, it only lets more false hits through to the join.
-2. One pass over the texts keeps, around the grams whose bit is set, the passage an item could cover.
-3. Hits are counted over the corpus; of any two neighbouring grams of an item the rarer is a seed (both, at a tie).
+1. An item of n words may be edited in e = n / 5 places (rounded down; a word replaced, dropped or put in), as at least 0.8
+   of its words must be found. Then (n - e) / (e + 1) words in a row, rounded up, stay whole: that, four at most, is the
+   length k of the item's seeds: four for 16 words or more, the whole item for four words or fewer.
+2. All k-word grams of the items go into bit maps (one bit a hash), one for each k and class of item lengths. A map's size
+   follows the number of its grams up to 2^28 bits, so that 32 MB at most a map are broadcast; beyond, it only lets more
+   false hits through to the join. One pass over the texts keeps, around the grams whose bit is set, the passage that an
+   item of that class could cover.
+3. Hits are counted over the corpus. Of an item's N = n - k + 1 grams at least t = max(1, N - e k) outlive e edits, so its
+   N - t + 1 rarest are the seeds: one of them is in every copy with e edits or fewer, wherever these are.
 4. Seeds join passages to items by hash; each candidate pair is aligned word by word. A pair is a leak if the words
-   aligned as equal are at least 0.8 of the item's words.
+   aligned as equal are at least 0.8 of the item's words. (More than e edits can still align so, if words are put in as
+   well; such copies are found as long as one seed is left.)
 
-Words are lower-cased (Unicode) runs without ASCII punctuation. Edge cases: null or blank texts and items, and items of
-fewer than four words, match nothing; equal items each match; equal rows with one doc_id give one row; an empty
-table on either side gives an empty result; extra columns do not matter.
+Words are lower-cased (Unicode) runs without ASCII punctuation. Edge cases: null or blank texts and items match
+nothing; items of any length are sought, of fewer than five words only whole; equal items each match; equal rows with one
+doc_id give one row; an empty table on either side gives an empty result; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -25,13 +31,14 @@ from pyspark.sql import functions as F
 from .align import smith_waterman
 from .common import U64, Words, materialise, slices
 
-SEED_WORDS, SIMILARITY = 4, 0.8
+MOST_SEED_WORDS, SIMILARITY = 4, 0.8
 MAP_BITS = (20, 28)
+BROADCAST_SEEDS, BROADCAST_LEAKS = 1_000_000, 200_000
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
-GRAMS = "item long, at int, h long"
-PASSAGES = "doc_id long, text_key long, start int, words string, hits array<struct<h:long,at:int>>"
+GRAMS = "item long, n int, k int, edits int, class int, at int, h long"
+PASSAGES = "doc_id long, mark string, start int, words string, hits array<struct<h:long,at:int>>"
 
 
 def plain_slices(batches: Iterator[pa.RecordBatch], column: str):
@@ -50,56 +57,91 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return materialise(benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("text")).withColumn("item", F.monotonically_increasing_id()), "items")
 
 
-def _grams(items: DataFrame) -> DataFrame:
+def seed_length(n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words in a seed, and edits, of items of ``n`` words."""
+    edits = np.floor(n * (1 - similarity) + 1e-9).astype(np.int64)
+    return np.clip(-(-(n - edits) // (edits + 1)), 1, MOST_SEED_WORDS), edits
+
+
+def slack(n):
+    """Words beside an item's place that its alignment may use."""
+    return 4 + n // 4
+
+
+def _grams(items: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, words in plain_slices(batches, "text"):
-            at, h = words.grams(SEED_WORDS)
-            owner = words.text_of()[at]
             ids = rows.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array((at - words.first[owner]).astype(np.int32)), pa.array(h.view(np.int64))], ["item", "at", "h"])
+            length, edits = seed_length(words.count, similarity)
+            size_class = np.ceil(np.log2(np.maximum(words.count, 1)) / 2).astype(np.int64)  # powers of four
+            for k in range(1, MOST_SEED_WORDS + 1):
+                at, h = words.grams(k)
+                owner = words.text_of()[at]
+                use = length[owner] == k
+                at, h, owner = at[use], h[use], owner[use]
+                numbers = [words.count[owner], np.full(len(at), k), edits[owner], size_class[owner], at - words.first[owner]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), *(pa.array(x.astype(np.int32)) for x in numbers), pa.array(h.view(np.int64))], ["item", "n", "k", "edits", "class", "at", "h"])
 
     return items.select("item", "text").mapInArrow(run, GRAMS)
 
 
-def _bit_map(grams: DataFrame) -> np.ndarray:
-    n = grams.select("h").distinct().count()
-    bits = min(max(MAP_BITS[0], int(np.ceil(np.log2(max(n, 1) * 64)))), MAP_BITS[1])
-    place = F.pmod("h", F.lit(1 << bits)) + 1
-    rows = grams.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b")).collect()
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in rows:
-        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["b"]), np.uint8)
+def _bit_maps(grams: DataFrame) -> list[tuple[int, int, np.ndarray]]:
+    """(k, margin of words, bit map) of each seed length and class of item lengths."""
+    out = []
+    for r in grams.groupBy("k", "class").agg(F.countDistinct("h").alias("grams"), F.max("n").alias("n")).collect():  # a few
+        bits = min(max(MAP_BITS[0], int(np.ceil(np.log2(max(r["grams"], 1) * 64)))), MAP_BITS[1])
+        place = F.pmod("h", F.lit(1 << bits)) + 1
+        some = grams.where((F.col("k") == r["k"]) & (F.col("class") == r["class"]))
+        rows = some.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m")).collect()
+        bit_map = np.zeros(1 << (bits - 3), np.uint8)
+        for x in rows:
+            bit_map[(x["b"] - 1) * 4096 : x["b"] * 4096] = np.frombuffer(bytes(x["m"]), np.uint8)
+        out.append((r["k"], r["n"] + slack(r["n"]), bit_map))
     return out
 
 
-def _passages(docs: DataFrame, bit_map: np.ndarray, margin: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map)
+def _hits(words: Words, maps: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """First word, hash, and the range of words to keep around it, of each gram that is in a map; by first word."""
+    found = []
+    owner = words.text_of()
+    for k in sorted({k for k, _, _ in maps}):
+        at, h = words.grams(k)
+        margin = np.full(len(at), -1, np.int64)
+        for _, wide, bit_map in (m for m in maps if m[0] == k):
+            bit = h & U64(len(bit_map) * 8 - 1)
+            hit = (bit_map[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8)) & 1
+            np.maximum(margin, np.where(hit, wide, -1), out=margin)
+        hit = np.flatnonzero(margin >= 0)
+        at, margin, d = at[hit], margin[hit], owner[at[hit]]
+        found.append((at, h[hit].view(np.int64), np.maximum(words.first[d], at - margin), np.minimum(words.first[d + 1], at + k + margin)))
+    at, h, low, high = (np.concatenate([f[i] for f in found]) for i in range(4))
+    order = np.argsort(at, kind="stable")
+    return at[order], h[order], low[order], high[order]
+
+
+def _passages(docs: DataFrame, maps: list[tuple[int, int, np.ndarray]]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = shared.value
-        mask = U64(len(seen) * 8 - 1)
         for rows, words in plain_slices(batches, "text"):
-            at, h = words.grams(SEED_WORDS)
-            bit = h & mask
-            hit = np.flatnonzero((seen[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8)) & 1)
-            if not len(hit):
+            at, h, low, high = _hits(words, shared.value)
+            if not len(at):
                 continue
-            at, h = at[hit], h[hit].view(np.int64)
-            owner = words.text_of()[at]
-            cut = np.flatnonzero((owner[1:] != owner[:-1]) | (np.diff(at) > 2 * margin)) + 1
-            ids, keys, out = rows.column(0).to_pylist(), rows.column(2).to_pylist(), []
-            for a, b in zip([0, *cut], [*cut, len(at)], strict=True):
-                d = owner[a]
-                lo, hi = max(words.first[d], at[a] - margin), min(words.first[d + 1], at[b - 1] + SEED_WORDS + margin)
-                text = " ".join(words.data[words.start[lo] : words.end[hi - 1]].tobytes().decode().split())
-                hits = [{"h": int(x), "at": int(p - lo)} for x, p in zip(h[a:b], at[a:b], strict=True)]
-                out.append({"doc_id": ids[d], "text_key": keys[d], "start": int(lo - words.first[d]), "words": text, "hits": hits})
-            yield pa.RecordBatch.from_pylist(out, schema=_PASSAGE)
-
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, PASSAGES)
-
-
-_PASSAGE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("words", pa.string()), ("hits", pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())])))])
+            by_low = np.argsort(low, kind="stable")
+            reach = np.maximum.accumulate(high[by_low])
+            new = np.concatenate([[True], low[by_low][1:] >= reach[:-1]])  # ranges that overlap are one passage
+            first = np.flatnonzero(new)
+            begin, end = low[by_low][first], reach[np.append(first[1:], len(new)) - 1]
+            passage = np.searchsorted(begin, at, "right") - 1
+            owner = np.searchsorted(words.first, begin, "right") - 1
+            texts = [b" ".join(words.data[words.start[a] : words.end[b - 1]].tobytes().split()) for a, b in zip(begin, end, strict=True)]
+            bounds = np.searchsorted(passage, np.arange(len(begin) + 1))
+            hits = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays([pa.array(h), pa.array((at - begin[passage]).astype(np.int32))], ["h", "at"]))
+            picked = rows.take(pa.array(owner))
+            columns = [picked.column(0), picked.column(2), pa.array((begin - words.first[owner]).astype(np.int32)), pa.array(texts, pa.binary()).cast(pa.string()), hits]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "start", "words", "hits"])
+
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, PASSAGES)
 
 
 def _hashes(texts: pa.Array) -> list[np.ndarray]:
@@ -120,55 +162,65 @@ def _aligned(pairs: DataFrame, similarity: float) -> DataFrame:
                 low, high = (get(c).to_numpy(zero_copy_only=False) for c in ("low", "high"))
                 cut, shift = [], []
                 for item, passage, lo, hi in zip(items, passages, low, high, strict=True):
-                    slack = 4 + len(item) // 4
-                    first = max(0, int(lo) - slack)
+                    first = max(0, int(lo) - slack(len(item)))
                     shift.append(first)
-                    cut.append((item, passage[first : int(hi) + len(item) + slack]))
+                    cut.append((item, passage[first : int(hi) + len(item) + slack(len(item))]))
                 found = smith_waterman(cut)
                 share = found[:, 1] / np.array([max(len(i), 1) for i in items])
                 ok = np.flatnonzero(share >= similarity)
                 base = get("start").to_numpy(zero_copy_only=False) + np.array(shift)
-                columns = [get("doc_id"), get("text_key"), get("item_id"), pa.array((base + found[:, 2]).astype(np.int64)), pa.array((base + found[:, 3]).astype(np.int64)), pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(share)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "item_id", "start_word", "end_word", "score", "equal_words", "similarity"]).take(pa.array(ok))
+                columns = [get("doc_id"), get("mark"), get("item_id"), pa.array((base + found[:, 2]).astype(np.int64)), pa.array((base + found[:, 3]).astype(np.int64)), pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(share)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "item_id", "start_word", "end_word", "score", "equal_words", "similarity"]).take(pa.array(ok))
 
-    return pairs.mapInArrow(run, "doc_id long, text_key long, item_id long, start_word long, end_word long, score long, equal_words long, similarity double")
+    return pairs.mapInArrow(run, LEAKS)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Aligned pairs: doc_id, text_key (xxhash64 of the text), item_id, the words' range in the document, score, equal words, similarity."""
-    spark = docs.sparkSession
-    plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+LEAKS = "doc_id long, mark string, item_id long, start_word long, end_word long, score long, equal_words long, similarity double"
+
+
+def _leaks(plain: DataFrame, benchmark: DataFrame, similarity: float, item_id: str, item_text: str) -> DataFrame:
+    """``plain``: doc_id, text, mark. Aligned pairs with the mark."""
+    spark = plain.sparkSession
     items = _items(benchmark, item_id, item_text)
-    grams = materialise(_grams(items), "grams")
-    longest = grams.agg(F.max("at")).first()[0]
-    if longest is None:
-        return spark.createDataFrame([], "doc_id long, text_key long, item_id long, start_word long, end_word long, score long, equal_words long, similarity double")
-    margin = longest + SEED_WORDS + 4 + (longest + SEED_WORDS) // 4
-    passages = materialise(_passages(plain, _bit_map(grams), margin).withColumn("passage", F.monotonically_increasing_id()), "passages")
+    grams = materialise(_grams(items, similarity), "grams")
+    maps = _bit_maps(grams)
+    if not maps:
+        return spark.createDataFrame([], LEAKS)
+    passages = materialise(_passages(plain, maps).withColumn("passage", F.monotonically_increasing_id()), "passages")
     hits = passages.select("passage", F.explode("hits").alias("x")).select("passage", "x.h", F.col("x.at").alias("in_passage"))
-    counts = hits.groupBy("h").count()
-    by_item = Window.partitionBy("item").orderBy("at")
-    c, before, after = F.col("c"), F.lag("c").over(by_item), F.lead("c").over(by_item)
-    counted = grams.join(counts, "h").select("item", "at", "h", F.col("count").alias("c"))
-    seeds = counted.select("*", (before.isNull() | after.isNull() | (c <= before) | (c <= after)).alias("rare")).where("rare")
+    counts = hits.groupBy("h").agg(F.count("*").alias("c"))
+    every = F.col("n") - F.col("k") + 1
+    spared = F.greatest(F.lit(1), every - F.col("edits") * F.col("k")) - 1  # of the most frequent grams
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("c", F.lit(0)), "at"))
+    seeds = grams.join(counts, "h", "left").withColumn("rank", rank).where((F.col("rank") <= every - spared) & F.col("c").isNotNull())
+    seeds = materialise(seeds.select("item", "at", "h"), "seeds")
+    if seeds.count() <= BROADCAST_SEEDS:
+        seeds = F.broadcast(seeds)  # checked: so few rows; beyond that the join shuffles and splits hot hashes
     shift = F.col("in_passage") - F.col("at")
     pairs = hits.join(seeds, "h").groupBy("passage", "item").agg(F.min(shift).alias("low"), F.max(shift).alias("high"))
-    full = pairs.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").join(passages.select("passage", "doc_id", "text_key", "start", "words"), "passage")
+    full = pairs.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").join(passages.select("passage", "doc_id", "mark", "start", "words"), "passage")
     return _aligned(full, similarity)
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Aligned pairs: doc_id, item_id, the words' range in the document, score, equal words, similarity."""
+    plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.lit(None).cast("string").alias("mark"))
+    return _leaks(plain, benchmark, similarity, item_id, item_text).drop("mark")
+
+
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The best alignment of each document and item that reaches the similarity."""
     best = F.max_by(F.struct("start_word", "end_word", "score", "equal_words", "similarity"), F.struct("equal_words", "score", -F.col("start_word"))).alias("b")
     return leaks(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` without those whose text holds a test item. Rows are matched by text, so null or repeated ids do no harm."""
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", similarity: float = SIMILARITY, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without those whose text holds a test item. Rows are matched by the text's SHA-256, so null or repeated ids do no harm."""
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    body = f"c{columns.index(text)}"
-    source = plain.select(F.lit(None).cast("long").alias("doc_id"), F.col(body).alias("text"))
-    found = leaks(source, benchmark, **options).select("text_key").distinct()
-    keyed = plain.withColumn("text_key", F.xxhash64(body))
-    return keyed.join(found, "text_key", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    body = F.col(f"c{columns.index(text)}")
+    source = plain.select(F.lit(None).cast("long").alias("doc_id"), body.alias("text"), F.sha2(body, 256).alias("mark"))
+    found = materialise(_leaks(source, benchmark, similarity, item_id, item_text).select("mark").distinct(), "leaking")
+    if found.count() <= BROADCAST_LEAKS:
+        found = F.broadcast(found)  # checked: so few rows; the texts need no shuffle then
+    return plain.withColumn("mark", F.sha2(body, 256)).join(found, "mark", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

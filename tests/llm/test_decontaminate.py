@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from rowloom.llm import decontaminate, queries
 from rowloom.llm.align import smith_waterman
@@ -83,11 +84,85 @@ def test_half_copies_stay(spark):
     assert decontaminate.remove_leaks(docs, items).count() == 120
 
 
+def brute_leaks(docs, items):
+    """Every document against every item by the plain alignment."""
+    out = set()
+    for d, text in docs:
+        for i, item in items:
+            a, b = words(item), words(text)
+            if a and b:
+                number = {w: k for k, w in enumerate(sorted({*a, *b}), 1)}
+                found = smith_waterman([(np.array([number[w] for w in a], np.uint64), np.array([number[w] for w in b], np.uint64))])[0]
+                if found[1] >= 0.8 * len(a):
+                    out.add((d, i))
+    return out
+
+
+def edited(rng, copy, edits, kinds, vocabulary):
+    copy = list(copy)
+    for at in sorted(rng.sample(range(len(copy)), edits), reverse=True):
+        kind = rng.choice(kinds)
+        if kind == "replace":
+            copy[at] = rng.choice(vocabulary)
+        elif kind == "drop":
+            del copy[at]
+        else:
+            copy.insert(at, rng.choice(vocabulary))
+    return copy
+
+
+@pytest.mark.parametrize("kinds", [["replace"], ["replace", "drop", "insert"]])
+def test_edited_copies_match_brute_force(spark, kinds):
+    rng = random.Random(8)
+    rare = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 7))) for _ in range(400)]
+    items = [(i, " ".join(rng.choices(rare, k=n))) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 15, 16, 17, 18, 19, 20, 20, 23, 25, 30, 40, 60])]
+    docs, too_many = [], set()
+    for d in range(12 * len(items)):
+        copy = items[d % len(items)][1].split()
+        edits = min(rng.choice([len(copy) // 5, len(copy) // 5, len(copy) // 5 + 1, 0]), len(copy))
+        if edits > len(copy) // 5:
+            too_many.add((d, d % len(items)))
+        text = rng.choices(rare, k=rng.randint(0, 30))
+        at = rng.randint(0, len(text))
+        text[at:at] = edited(rng, copy, edits, kinds, rare)
+        if d % 3 == 0:  # fragments, so that some grams are frequent
+            cut = rng.randint(0, max(0, len(copy) - 5))
+            text += ["beside", *copy[cut : cut + 5]]
+        docs.append((d, " ".join(text)))
+    want = brute_leaks(docs, items)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.report(table, tests).collect()}
+    assert got <= want and len(want) > 200
+    assert want - got <= too_many and len(got) > 0.99 * len(want)
+    assert {r["doc_id"] for r in decontaminate.remove_leaks(table, tests).collect()} == {d for d, _ in docs} - {d for d, _ in got}
+
+
+def test_frequent_grams_do_not_hide_an_edited_copy(spark):
+    item = [f"w{i}" for i in range(20)]
+    copy = [f"x{i}" if i in (2, 7, 12, 18) else w for i, w in enumerate(item)]
+    docs = [(0, " ".join(copy))] + [(i, " ".join(["noise", *item[at : at + 4], f"end{i}"])) for i, at in enumerate([3, 8, 13, 14, 8, 3, 13] * 40, 1)]
+    tests = spark.createDataFrame([(1, " ".join(item)), (2, "a\u00a0b one two three four"), (3, "word")], "item_id long, text string")
+    docs += [(900, "said a\u00a0b one two three four five"), (901, "Word"), (902, "sword")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), tests).collect()}
+    assert got == {(0, 1), (900, 2), (901, 3)}
+
+
+def test_a_long_item_widens_its_own_passages_only(spark):
+    long = " ".join(f"l{i}" for i in range(5000))
+    short = "one two three four five six"
+    texts = ["x " * 3000 + short + " y" * 3000, long.replace("l4 ", "") + " z"]
+    maps = decontaminate._bit_maps(decontaminate._grams(spark.createDataFrame([(0, short), (1, long)], "item long, text string"), 0.8))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "null as mark")
+    got = {r["doc_id"]: len(r["words"].split()) for r in decontaminate._passages(docs.withColumn("mark", docs["mark"].cast("string")), maps).collect()}
+    assert got[0] < 40 and got[1] == 5000
+
+
 def test_edge_cases(spark):
     item = "one two three four five six seven eight nine ten"
     rows = [(None, item, 1), (2, None, 2), (3, "", 3), (4, f"x {item} y", 4), (4, f"x {item} y", 4), (5, "z " * 200_000 + item, 5), (6, "clean text it is", 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
-    items = spark.createDataFrame([(1, item, 0), (2, item, 0), (3, None, 0), (4, "", 0), (5, "clean text it", 0), (None, item, 0)], "item_id long, text string, doc_id int")
+    items = spark.createDataFrame([(1, item, 0), (2, item, 0), (3, None, 0), (4, "", 0), (5, "clean text on", 0), (None, item, 0)], "item_id long, text string, doc_id int")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.report(docs, items).collect()}
     assert found == {(d, i) for d in (None, 4, 5) for i in (1, 2, None)}
     kept = decontaminate.remove_leaks(docs, items)
