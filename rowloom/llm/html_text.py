@@ -1,17 +1,22 @@
 """Main text of web pages: page structure, and line differences between neighbours by URL.
 
-Pages of a host are sorted by URL path and each is paired with the neighbour whose path agrees longest. The text lines
-of the two are aligned by longest common subsequence; lines they share are page furniture and are deleted, wherever
-they stand. Lines inside ``article`` or ``main`` guard against copies only: a neighbour that shares more than half of
-those of a page is a copy of it, so the other neighbour decides, and if both are copies the lines inside stay (copies of
-an article must not erase each other). A page that has no neighbour keeps the lines inside, if any, and else all. Menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are recognised by element, role
-and class and go wherever they stand; so do lines outside ``article`` and ``main`` that are all link.
+Pages of a host are sorted by URL path and each is paired with the neighbour whose path agrees longest. All text lines
+of the two, menus and footers included, are aligned by longest common subsequence; lines they share are page furniture
+and are deleted, wherever they stand. Lines inside ``article`` or ``main`` guard against copies only: a neighbour that
+shares more than half of those of a page is a copy of it, so the other neighbour decides, and if both are copies the
+lines inside stay (copies of an article must not erase each other). A page that has no neighbour keeps the lines inside,
+if any, and else all.
+
+Furniture that differs from page to page cannot be found so. It is marked by element, role and class: menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments go wherever they stand, and so do runs of list items that
+are links only, outside ``article`` and ``main``. Inside an ``article`` fewer class names count. Scripts, styles and
+other text that is not shown are no lines. The counts tell what each rule did: ``n_lines`` of the page, ``n_marked``,
+``n_shared`` with the neighbour, and ``n_by_difference``, those deleted as shared that nothing marked.
 
 White space inside a line becomes one space; lines are joined by one. Character references are decoded. Edge cases: null
 or empty html gives an empty text; pages without a host are paired like a host; a single page on a host has no
-neighbour; pages with the same lines are neighbours of other pages, not of each other: however many stand in a row, each
-is paired with the last different page before or the first after them; unclosed and mismatched tags are tolerated; extra columns do not matter.
+neighbour; pages with the same lines in a row are one run with the same neighbours, the last different page before and
+the first after them, and get the same text; unclosed and mismatched tags are tolerated; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -36,11 +41,13 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 WORDS = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr banner notice notices alert popup modal overlay "
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments discussion disqus reply replies respond "
-    "share sharing social related recommended newsletter subscribe signup login search widget pagination pager toolbar copyright skip".split()
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr ad ads advert adverts advertisement advertising "
+    "sponsor sponsored promo promotion comment comments discussion disqus newsletter subscribe".split()
 )
-HEADS = frozenset("header masthead topbar".split())
+OUTSIDE = WORDS | frozenset(
+    "aside header masthead topbar banner notice notices alert popup modal overlay reply replies respond share sharing social related recommended signup login "
+    "search widget pagination pager toolbar copyright skip".split()
+)  # outside of article elements these count as well
 BROADCAST_BYTES = 100_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>", re.S)
@@ -49,7 +56,7 @@ _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _furniture(tag: str, attrs: str, inside: bool) -> bool:
+def _furniture(tag: str, attrs: str, article: bool, inside: bool) -> bool:
     if tag in DROP or (tag == "header" and not inside):
         return True
     if tag in ("html", "body", "main") or not attrs:
@@ -61,18 +68,18 @@ def _furniture(tag: str, attrs: str, inside: bool) -> bool:
         if name == "role" and value.lower() in ROLES:
             return True
         if name in ("class", "id"):
-            words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-            if words & WORDS or (not inside and words & HEADS):
+            if not (WORDS if article else OUTSIDE).isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower())):
                 return True
     return False
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, inside article or main, link only) of each text line outside page furniture, in page order."""
-    out: list[tuple[str, bool, bool]] = []
+    """(text, inside article or main, marked as furniture) of each text line, in page order."""
+    out: list[list] = []
+    links: list[bool] = []  # of each line: a list item that is all link
     buffer: list[str] = []
-    linked = plain = False
-    inside = in_link = 0
+    linked = plain = item = False
+    inside = article = in_link = 0
     skip, depth, soft = "", 0, False  # the furniture element one is in, its nesting, and whether it is known by its class only
     at, n = 0, len(page)
 
@@ -80,14 +87,15 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         nonlocal linked, plain
         text = " ".join(html_module.unescape("".join(buffer)).split())
         if text:
-            out.append((text, inside > 0, linked and not plain))
+            out.append([text, inside > 0, bool(skip)])
+            links.append(item and linked and not plain and not inside)
         buffer.clear()
         linked = plain = False
 
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
-        if text and not skip:
+        if text:
             buffer.append(text)
             if text.strip():
                 if in_link:
@@ -101,6 +109,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if not tag:
             continue
         tag = tag.lower()
+        if tag in BLOCK:
+            flush()
         if skip:
             if close:
                 if tag == skip:
@@ -111,35 +121,44 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
                 depth = 0 if skip in SELF_CLOSING else depth + 1
             elif (skip == "p" and tag in BLOCK and tag != "br") or (soft and tag in ("article", "main")):
                 depth = 0
-            if depth > 0:
-                continue
-            skip = ""
-            if close:
-                continue
-        if tag in BLOCK:
-            flush()
+            if depth <= 0:
+                flush()
+                skip = ""
+                if close:
+                    in_link = in_link and tag != "a"
+                    continue
         if close:
-            if tag in ("article", "main") and inside:
+            if not skip and tag in ("article", "main") and inside:
                 inside -= 1
-            elif tag == "a" and in_link:
+                article -= tag == "article" and article > 0
+            elif tag == "a":
                 in_link = 0
+            elif tag in ("li", "ul", "ol"):
+                item = False
             continue
         if tag in VOID:
             continue
-        if _furniture(tag, attrs, inside > 0):
+        if tag in RAW:
+            end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
+            at = end.end() if end else n
+        elif skip:
+            in_link = in_link or tag == "a"
+        elif _furniture(tag, attrs, article > 0, inside > 0):
             flush()
-            if tag in RAW:
-                end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
-            elif not attrs.endswith("/") or tag not in ("svg", "iframe"):
+            if not attrs.endswith("/"):
                 skip, depth, soft = tag, 1, tag not in DROP
-            continue
-        if tag in ("article", "main"):
+        elif tag in ("article", "main"):
             inside += 1
+            article += tag == "article"
         elif tag == "a":
             in_link = 1
+        elif tag == "li":
+            item = True
     flush()
-    return out
+    for i, link in enumerate(links):
+        if link and (i and links[i - 1] or i + 1 < len(links) and links[i + 1]):
+            out[i][2] = True
+    return [tuple(x) for x in out]
 
 
 def common_lines(a: list, b: list) -> list[int]:
@@ -171,12 +190,12 @@ def common_lines(a: list, b: list) -> list[int]:
     return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
-PARSED = "page_id long, url string, host string, path string, texts array<string>, inside array<boolean>, link_only array<boolean>, hashes array<long>"
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("texts", pa.list_(pa.string())), ("inside", pa.list_(pa.bool_())), ("link_only", pa.list_(pa.bool_())), ("hashes", pa.list_(pa.int64()))])
+PARSED = "page_id long, url string, host string, path string, texts array<string>, inside array<boolean>, marked array<boolean>, hashes array<long>"
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("texts", pa.list_(pa.string())), ("inside", pa.list_(pa.bool_())), ("marked", pa.list_(pa.bool_())), ("hashes", pa.list_(pa.int64()))])
 
 
 def _parse(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
-    """Each page's lines: text, whether inside article or main, whether all link and outside these, hash."""
+    """Each page's lines: text, whether inside article or main, whether marked as furniture, hash."""
     rows = pages.select(F.col(f"`{page_id}`").cast("long"), F.col(f"`{url}`"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"), F.col(f"`{html}`"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +207,7 @@ def _parse(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
                 for p, u, h, path, page in zip(*(some.column(i).to_pylist() for i in range(5)), strict=True):
                     lines = lines_of(page or "")
                     row = {"page_id": p, "url": u, "host": h, "path": path, "texts": [t for t, _, _ in lines], "inside": [x for _, x, _ in lines]}
-                    row |= {"link_only": [x and not y for _, y, x in lines], "hashes": [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _, _ in lines]}
+                    row |= {"marked": [x for _, _, x in lines], "hashes": [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _, _ in lines]}
                     out.append(row)
                 yield pa.RecordBatch.from_pylist(out, schema=_PARSED)
 
@@ -204,91 +223,91 @@ def _agree(a: str, b: str) -> int:
     return n
 
 
-def _borders(ordered: DataFrame, at: Column) -> tuple[dict, list, list]:
-    """The number of each range by its first place, and for each range the page before its first page and after its last one.
+def _borders(ordered: DataFrame) -> list[tuple[int, int]]:
+    """(range, row): the pages of other ranges that each range's first and last page may be paired with.
 
-    These are the nearest pages that have other lines than the range's first (last) page, past whole ranges of equal ones.
+    These are the nearest pages that have other lines than the range's first (last) page, past whole ranges of equal ones. A
+    few numbers a range come to the driver; the pages themselves are fetched by a join.
     """
-    page = F.struct(at, "hashes", "kind")
-    rim = sorted(ordered.groupBy("range").agg(F.min(page).alias("first"), F.max(page).alias("last")).collect(), key=lambda r: r["range"])
+    page = F.struct("host", "path", "row", "kind")
+    rim = sorted(ordered.groupBy("range").agg(F.min(page).alias("first"), F.max(page).alias("last")).select("range", *[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("first", "last") for c in ("row", "kind")]).collect(), key=lambda r: r["range"])
     if not rim:
-        return {}, [], []
-    ends = ordered.sparkSession.createDataFrame([(r["range"], r["first"]["kind"], r["last"]["kind"]) for r in rim], "range int, f long, l long")
-    other = ordered.join(F.broadcast(ends), "range").groupBy("range").agg(F.min(F.when(F.col("kind") != F.col("f"), page)).alias("second"), F.max(F.when(F.col("kind") != F.col("l"), page)).alias("penult")).collect()
-    inner = {r["range"]: r for r in other}
-    plain = lambda x: x and (tuple(x[0]), tuple(x[1]))
-    firsts, lasts = [plain(r["first"]) for r in rim], [plain(r["last"]) for r in rim]
-    seconds, penults = ([plain(inner[r["range"]][c]) for r in rim] for c in ("second", "penult"))
-    n = len(rim)
-    before: list = [None] * n
-    after: list = [None] * n
-    for i in range(1, n):
-        before[i] = lasts[i - 1] if not _alike(lasts[i - 1], firsts[i]) else penults[i - 1] or before[i - 1]
-    for i in range(n - 2, -1, -1):
-        after[i] = firsts[i + 1] if not _alike(firsts[i + 1], lasts[i]) else seconds[i + 1] or after[i + 1]
-    return {first[0]: i for i, first in enumerate(firsts)}, before, after
-
-
-def _alike(a: tuple, b: tuple) -> bool:
-    return a[0][0] == b[0][0] and a[1] == b[1]
+        return []
+    ends = ordered.sparkSession.createDataFrame([(r["range"], r["first_kind"], r["last_kind"]) for r in rim], "range int, f long, l long")
+    second, penult = F.min(F.when(F.col("kind") != F.col("f"), page)), F.max(F.when(F.col("kind") != F.col("l"), page))
+    inner = ordered.join(F.broadcast(ends), "range").groupBy("range").agg(second.alias("second"), penult.alias("penult"))
+    found = {r["range"]: r for r in inner.select("range", *[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("second", "penult") for c in ("row", "kind")]).collect()}
+    n, out = len(rim), []
+    for step, near, far, own in ((-1, "last", "penult", "first"), (1, "first", "second", "last")):
+        other: list = [None] * n  # (row, kind); the kind tells hosts apart too
+        for i in range(1, n) if step < 0 else range(n - 2, -1, -1):
+            j = i + step
+            if rim[j][f"{near}_kind"] != rim[i][f"{own}_kind"]:
+                other[i] = rim[j][f"{near}_row"]
+            else:
+                x = found[rim[j]["range"]]
+                other[i] = other[j] if x[f"{far}_row"] is None else x[f"{far}_row"]
+        out += [(rim[i]["range"], row) for i, row in enumerate(other) if row is not None]
+    return out
 
 
 def _shared(before: tuple | None, run: list, after: tuple | None) -> Iterator[dict]:
-    """``row`` and ``shared`` of those pages of a run of equal ones that are not left as they are. ``run``: (place, lines, inside)."""
-    near = [x for x in (before, after) if x and x[0][0] == run[0][0][0]]
+    """``row``, ``shared`` and ``lone`` of those pages of a run of equal ones that are not left as they are. Pages: (place, lines, inside, own)."""
+    near = [(_agree(run[e][0][1], x[0][1]), x[1]) for e, x in ((0, before), (-1, after)) if x and x[0][0] == run[0][0][0]]
     lines = list(run[0][1])
-    common: dict = {}
-    for (_, path, row), _, inside in run if near and lines else ():
-        shared = None
-        for x in sorted(near, key=lambda x: -_agree(path, x[0][1])):
-            if x[0] not in common:
-                common[x[0]] = common_lines(lines, list(x[1]))
-            own = sum(inside[i] for i in common[x[0]])
-            if 2 * own <= sum(inside):
-                shared = common[x[0]]
-                break
-            if shared is None:
-                shared = [i for i in common[x[0]] if not inside[i]]
-        if shared or any(inside) and not all(inside):
-            yield {"row": row, "shared": shared}
+    found = [common_lines(lines, list(x)) for _, x in sorted(near, key=lambda x: -x[0])] if lines else []
+    for place, _, inside, own in run:
+        if not own:
+            continue
+        total = sum(inside)
+        if not found:
+            if 0 < total < len(inside):
+                yield {"row": place[2], "shared": [], "lone": True}
+            continue
+        shared = next((c for c in found if 2 * sum(inside[i] for i in c) <= total), None)
+        if shared is None:
+            shared = [i for i in found[0] if not inside[i]]
+        if shared:
+            yield {"row": place[2], "shared": shared, "lone": False}
 
 
 def _difference(rows: DataFrame) -> DataFrame:
-    """``rows``: row, host, path, hashes, inside. Gives ``row`` and the places of lines to delete as shared with the nearest neighbour."""
+    """``rows``: row, host, path, hashes, inside. Gives ``row``, the places of lines to delete as shared with the nearest neighbour, and whether there is none."""
     kinds = rows.withColumn("kind", F.xxhash64("host", "hashes"))
     ordered = materialise(kinds.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row").withColumn("range", F.spark_partition_id()), "by-url")
-    number, befores, afters = _borders(ordered, F.struct("host", "path", "row"))
+    asked = rows.sparkSession.createDataFrame(_borders(ordered), "asking int, row long")  # two numbers a range
+    columns = ["host", "path", "row", "hashes", "range", "inside", "kind"]
+    lent = ordered.join(F.broadcast(asked), "row").drop("range").withColumnRenamed("asking", "range").select(*columns, F.lit(False).alias("own"))
+    met = ordered.select(*columns, F.lit(True).alias("own")).union(lent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list = []
         same: list = []
-        i, before = None, None
+        kind, before = None, None
         for batch in batches:
-            for h, p, r, x, inside in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5)), strict=True):
-                page = ((h, p, r), tuple(x), inside)
-                if i is None:
-                    i = number[page[0]]
-                    before = befores[i]
-                if same and not _alike(same[0], page):
+            for h, p, r, x, inside, k, own in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5, 6, 7)), strict=True):
+                page = ((h, p, r), x, inside, own)
+                if same and k != kind:
                     out.extend(_shared(before, same, page))
                     before, same = same[-1], []
+                kind = k
                 same.append(page)
                 if len(out) >= 1000:
                     yield pa.RecordBatch.from_pylist(out, schema=_SHARED)
                     out = []
         if same:
-            out.extend(_shared(before, same, afters[i]))
+            out.extend(_shared(before, same, None))
         yield pa.RecordBatch.from_pylist(out, schema=_SHARED)
 
-    one = ordered.select("host", "path", "row", "hashes", "range", "inside").repartition("range").sortWithinPartitions("range", "host", "path", "row")
+    one = met.repartition("range").sortWithinPartitions("range", "host", "path", "row")
 
     def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _each_range(batches, run)
 
-    return one.mapInArrow(by_range, "row long, shared array<int>")
+    return one.mapInArrow(by_range, "row long, shared array<int>, lone boolean")
 
 
-_SHARED = pa.schema([("row", pa.int64()), ("shared", pa.list_(pa.int32()))])
+_SHARED = pa.schema([("row", pa.int64()), ("shared", pa.list_(pa.int32())), ("lone", pa.bool_())])
 
 
 def _each_range(batches: Iterator[pa.RecordBatch], run) -> Iterator[pa.RecordBatch]:
@@ -318,12 +337,18 @@ def _cut(batches: Iterator[pa.RecordBatch]):
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row a page: page_id, url, text, n_chars, n_lines (lines outside page furniture)."""
+    """One row a page: page_id, url, text, n_chars, and the counts n_lines, n_marked, n_shared, n_by_difference."""
     parsed = materialise(_parse(pages, page_id, url, html).withColumn("row", F.monotonically_increasing_id()), "parsed")
     shared = materialise(_difference(parsed.select("host", "path", "row", "hashes", "inside")), "shared")
     if (shared.agg(F.sum(F.size("shared") * 4 + 64)).first()[0] or 0) <= BROADCAST_BYTES:
         shared = F.broadcast(shared)  # checked: so few bytes; the texts need no shuffle then
-    rows = parsed.select("row", "page_id", "url", "texts", "inside", "link_only", F.size("hashes").alias("n_lines")).join(shared, "row", "left")
-    guarded = F.col("shared").isNull() & F.array_contains("inside", True)
-    kept = F.filter(F.col("texts"), lambda t, i: F.when(guarded, F.get("inside", i)).otherwise(~F.coalesce(F.array_contains("shared", i), F.lit(False)) & ~F.get("link_only", i)))
-    return rows.select("page_id", "url", F.array_join(kept, " ").alias("text"), "n_lines").select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines")
+    rows = parsed.select("row", "page_id", "url", "texts", "inside", "marked").join(shared, "row", "left")
+    guarded = F.coalesce("lone", F.lit(False))
+    by_tag = lambda i: F.get("marked", i) | (guarded & ~F.get("inside", i))
+    by_difference = lambda i: F.coalesce(F.array_contains("shared", i), F.lit(False))
+    kept = F.filter(F.col("texts"), lambda t, i: ~by_tag(i) & ~by_difference(i))
+    found = F.coalesce("shared", F.array().cast("array<int>"))
+    only = F.size(F.filter(found, lambda i: ~by_tag(i)))
+    counts = [F.size("texts").alias("n_lines"), F.size(F.filter("texts", lambda t, i: by_tag(i))).alias("n_marked"), F.size(found).alias("n_shared"), only.alias("n_by_difference")]
+    out = rows.select("page_id", "url", F.array_join(kept, " ").alias("text"), *counts)
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", "n_marked", "n_shared", "n_by_difference")
