@@ -1,6 +1,8 @@
 import random
 
-from rowloom.llm import queries, substring
+import numpy as np
+
+from rowloom.llm import align, queries, substring
 
 
 def brute_lcs(a, b):
@@ -127,6 +129,86 @@ def test_query_runs_whole(spark, sf_dir):
     assert want and want <= found
 
 
+def classes(rows):
+    root = {}
+
+    def find(d):
+        root.setdefault(d, d)
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for r in rows:
+        root[find(r["doc_id"])] = find(r["other_doc_id"])
+    return {d: find(d) for d in root}
+
+
+def test_query_by_brute_force(spark, sf_dir, monkeypatch):
+    """All pairs of documents that share a 5-gram, by alignment with scores at which a best range has at least 0.8 equal words."""
+    docs = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op4_substring_dedup(spark, sf_dir).collect()
+    for r in rows:
+        a, b = docs[r["doc_id"]][r["start_word"] : r["end_word"]], docs[r["other_doc_id"]][r["other_start"] : r["other_end"]]
+        assert min(len(a), len(b)) >= 50 and substring.common_length(a, b) == r["equal_words"] >= 0.8 * max(len(a), len(b))
+    grams = {}
+    for d, w in docs.items():
+        for i in range(len(w) - 4):
+            grams.setdefault(tuple(w[i : i + 5]), set()).add(d)
+    near = sorted({(x, y) for s in grams.values() for x in s for y in s if x < y})
+    number = {w: k for k, w in enumerate(sorted({w for t in docs.values() for w in t}), 1)}
+    coded = {d: np.array([number[w] for w in t], np.uint64) for d, t in docs.items()}
+    monkeypatch.setattr(align, "MATCH", 1)
+    monkeypatch.setattr(align, "MISMATCH", -4)
+    monkeypatch.setattr(align, "GAP", -4)
+    found = align.smith_waterman([(coded[x], coded[y]) for x, y in near])
+    want = [p for p, (_, equal, lo, hi) in zip(near, found, strict=True) if equal >= 50 and hi - lo >= 50]
+    got = classes(rows)
+    assert len(want) > 20
+    assert all(x in got and y in got and got[x] == got[y] for x, y in want)
+
+
+def noisy(rng, n, edits, fragments, cut):
+    """A passage of ``n`` words, a copy with ``edits`` words replaced, dropped or put in, and documents with fragments of ``cut`` words of it."""
+    fresh = lambda m: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(m)]
+    passage = fresh(n)
+    copy = list(passage)
+    for at in sorted(rng.sample(range(n), edits), reverse=True):
+        kind = rng.random()
+        copy[at : at + (kind < 0.8)] = fresh(1) if kind < 0.6 or kind >= 0.8 else []
+    texts = [fresh(rng.randint(0, 40)) + passage + fresh(9), fresh(rng.randint(0, 40)) + copy + fresh(5)]
+    for _ in range(fragments):
+        at = rng.randint(0, n - cut)
+        texts.append(fresh(rng.randint(3, 9)) + passage[at : at + cut] + fresh(4))
+    return [" ".join(t) for t in texts]
+
+
+def test_a_copy_among_thousands_of_fragments(spark):
+    texts = noisy(random.Random(21), 100, 4, 3450, 12)
+    rows = substring.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
+    assert {frozenset((r["doc_id"], r["other_doc_id"])) for r in rows} == {frozenset((0, 1))}
+
+
+def test_recall_of_fuzzy_passages_under_fragments(spark):
+    rng = random.Random(22)
+    for n, edits, cut, least in ((60, 2, 12, 0.98), (100, 4, 17, 0.98), (100, 10, 12, 0.95), (60, 6, 12, 0.9), (150, 8, 30, 0.95), (60, 9, 12, 0.75), (60, 0, 45, 0.9)):
+        docs, pairs = [], []
+        for _ in range(60):
+            pairs.append((len(docs), len(docs) + 1))
+            docs += noisy(rng, n, edits, 25, cut)
+        got = classes(substring.passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect())
+        hit = sum(x in got and y in got and got[x] == got[y] for x, y in pairs)
+        print(n, edits, cut, hit / len(pairs))
+        assert hit >= least * len(pairs), (n, edits, cut, hit / len(pairs))
+
+
+def test_rows_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = []
+    for parts in (1, 6, 13):
+        found.append(sorted(map(repr, substring.passages(docs.repartition(parts, "doc_id")).collect())))
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 def test_edge_cases(spark):
     rng = random.Random(11)
     text = " ".join(str(rng.random()) for _ in range(70))
