@@ -6,9 +6,12 @@ Words are runs of bytes other than ASCII white space (0x20, 0x09-0x0D) everywher
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +56,46 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Folder:
+    """Files in one folder that all executors share: written whole under a temporary name and renamed, so that a retry writes the same file again."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
+        parts = urlparse(uri)
+        self.local = parts.path if parts.scheme in ("", "file") else None
+
+    def __reduce__(self):
+        return type(self), (self.uri,)
+
+    def _store(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.uri)
+
+    @contextmanager
+    def writing(self, name: str):
+        """A file to write to, which is there under its name once all is written."""
+        temporary = f"{name}.{uuid.uuid4().hex}.tmp"
+        if self.local is not None:
+            os.makedirs(self.local, exist_ok=True)
+            with open(f"{self.local}/{temporary}", "wb") as f:
+                yield f
+            os.replace(f"{self.local}/{temporary}", f"{self.local}/{name}")
+            return
+        store, root = self._store()
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(f"{root}/{temporary}") as f:
+            yield f
+        store.move(f"{root}/{temporary}", f"{root}/{name}")
+
+    def reading(self, name: str):
+        """A file to read from; it can be sought in."""
+        if self.local is not None:
+            return open(f"{self.local}/{name}", "rb")
+        store, root = self._store()
+        return store.open_input_file(f"{root}/{name}")
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets; nulls are empty."""
     if column.null_count:
