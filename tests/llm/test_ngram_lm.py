@@ -4,8 +4,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from rowloom.llm import ngram_lm, queries
+from rowloom.llm.common import Words
 from rowloom.llm.ngram_lm import EliasFano
 
 
@@ -14,33 +16,41 @@ def tokens_of(text):
 
 
 class Brute:
-    def __init__(self, texts):
-        self.one, self.two = Counter(), Counter()
+    def __init__(self, texts, order=3):
+        self.counts = [Counter() for _ in range(order)]
         for t in texts:
-            w = tokens_of(t)
-            self.one.update(w)
-            self.two.update(zip([None, *w[:-1]], w, strict=True))
+            for gram in self.grams(tokens_of(t)):
+                for k in range(len(gram)):
+                    self.counts[k][gram[len(gram) - 1 - k :]] += 1
+        self.one = Counter({g[0]: c for g, c in self.counts[0].items()})
         self.n, self.v = sum(self.one.values()), len(self.one)
         self.total, self.types = Counter(), Counter()
-        for (c, _), k in self.two.items():
-            self.total[c] += k
-            self.types[c] += 1
+        for k in range(1, order):
+            for gram, c in self.counts[k].items():
+                self.total[gram[:-1]] += c
+                self.types[gram[:-1]] += 1
+
+    def grams(self, words):
+        """The longest n-gram that ends at each token; an end token stands before the first."""
+        whole = [None, *words]
+        return [tuple(whole[max(0, i - len(self.counts) + 1) : i + 1]) for i in range(1, len(whole))]
 
     def p1(self, w):
         return (self.one[w] + 0.1) / (self.n + 0.1 * (self.v + 1))
 
+    def p(self, gram):
+        if len(gram) == 1:
+            return self.p1(gram[0])
+        lower, context = self.p(gram[1:]), gram[:-1]
+        if not self.total[context]:
+            return lower
+        return max(self.counts[len(context)][gram] - 0.75, 0) / self.total[context] + 0.75 * self.types[context] / self.total[context] * lower
+
     def base(self, text):
         return sum(math.log10(self.p1(w)) for w in tokens_of(text))
 
     def score(self, text):
-        w, out = tokens_of(text), 0.0
-        for c, x in zip([None, *w[:-1]], w, strict=True):
-            if self.total[c]:
-                p = max(self.two[c, x] - 0.75, 0) / self.total[c] + 0.75 * self.types[c] / self.total[c] * self.p1(x)
-            else:
-                p = self.p1(x)
-            out += math.log10(p)
-        return out
+        return sum(math.log10(self.p(g)) for g in self.grams(tokens_of(text)))
 
 
 @pytest.mark.parametrize("top", [1, 50, 2**20, 2**62])
@@ -59,11 +69,8 @@ def test_elias_fano_repeats():
     assert (EliasFano(EliasFano.build(values)).get(np.arange(10)) == values).all()
 
 
-def test_query_matches_brute_force(spark, sf_dir):
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+def compare(model, docs, rows):
     held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in docs}
-    model = Brute([t for d, t in docs.items() if not held[d]])
-    rows = queries.op6_lm_score(spark, sf_dir).collect()
     assert len(rows) == len(docs)
     off, count = 0.0, 0
     for r in rows:
@@ -74,15 +81,38 @@ def test_query_matches_brute_force(spark, sf_dir):
         assert abs(r["score"] - model.score(t)) < 0.05 * len(w)  # probabilities are quantised to 8 bits
         off, count = off + abs(r["score"] - model.score(t)), count + len(w)
     assert off / count < 0.01
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_every_order_matches_brute_force(spark, sf_dir, order):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    model = Brute([t for d, t in docs.items() if zlib.crc32(str(d).encode()) % 10], order)
+    rows = ngram_lm.train_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(5), order=order).collect()
+    compare(model, docs, rows)
+
+
+def test_query_matches_brute_force(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op6_lm_score(spark, sf_dir).collect()
+    compare(Brute([t for d, t in docs.items() if zlib.crc32(str(d).encode()) % 10]), docs, rows)
     kept = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in kept) > sum(r["base_score"] for r in kept)
 
 
 def test_probabilities_sum_to_one():
-    model = Brute(["a b a", "b c", ""])
+    model = Brute(["a b a", "b c", "", "a b c a b"])
     for c in model.total:
-        known = sum(max(model.two[c, x] - 0.75, 0) / model.total[c] + 0.75 * model.types[c] / model.total[c] * model.p1(x) for x in model.one)
-        assert abs(known + 0.75 * model.types[c] / model.total[c] * model.p1(b"unseen") - 1) < 1e-9
+        assert abs(sum(model.p((*c, x)) for x in [*model.one, b"unseen"]) - 1) < 1e-9
+
+
+def test_words_are_told_apart_by_xxh64():
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    data = f"{one} {other} {one[:200]} {other[:200]} short".encode()
+    words = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert words.hash.tolist() == [xxhash.xxh64_intdigest(w) for w in data.split()] and len(set(words.hash.tolist())) == 5
 
 
 def test_edge_cases(spark):
