@@ -48,6 +48,14 @@ BLOBS = "shard int, blob binary"
 
 # ---- Elias-Fano
 
+_ONES, _FIVES, _THREES, _FIFTEENS, _TOPS = (U64(x * 0x0101010101010101) for x in (0x01, 0x55, 0x33, 0x0F, 0x80))
+_PLACES = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], U64).ravel()  # of the k-th one of a byte
+
+
+def _trailing_zeros(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x & (~x + U64(1))) - U64(1))
+
+
 class EliasFano:
     """A non-decreasing sequence of unsigned 64-bit integers in about 2 + log2(universe / n) bits each."""
 
@@ -62,7 +70,7 @@ class EliasFano:
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
         high_part = (values >> U64(low_bits)).astype(np.int64)
-        size = n + (top >> low_bits) + 2
+        size = n + (top >> low_bits) + 2 + 64
         bits = np.zeros(-(-size // 64) * 64, np.uint8)
         bits[high_part + np.arange(n)] = 1
         high = np.packbits(bits, bitorder="little").view("<u8")
@@ -84,15 +92,20 @@ class EliasFano:
         bits = self.high[np.minimum(word, len(self.high) - 1)]
         if flip:
             bits = ~bits
-        left = k - counts[word].astype(np.int64)
-        place = np.zeros(len(k), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            below = np.bitwise_count(bits & U64((1 << width) - 1)).astype(np.int64)
-            go = left >= below
-            left = np.where(go, left - below, left)
-            bits = np.where(go, bits >> U64(width), bits)
-            place += go * width
-        return word * 64 + place
+        left = (k - counts[word].astype(np.int64)).astype(U64)
+        # Ones a byte, then ones up to each byte, then how many bytes have no more than ``left`` of them.
+        ones = bits - ((bits >> U64(1)) & _FIVES)
+        ones = (ones & _THREES) + ((ones >> U64(2)) & _THREES)
+        upto = ((ones + (ones >> U64(4))) & _FIFTEENS) * _ONES
+        shift = np.bitwise_count(((left * _ONES) | _TOPS) - upto & _TOPS).astype(U64) << U64(3)
+        rank = left - (((upto << U64(8)) >> shift) & U64(255))
+        in_byte = _PLACES[((bits >> shift & U64(255)) << U64(3) | rank).astype(np.int64)]
+        return word * 64 + (shift + in_byte).astype(np.int64)
+
+    def _window(self, at: np.ndarray) -> np.ndarray:
+        """The 64 high bits from each place on; the last word of the high bits is spare."""
+        word, shift = at >> 6, (at & 63).astype(U64)
+        return (self.high[word] >> shift) | ((self.high[np.minimum(word + 1, len(self.high) - 1)] << U64(1)) << (U64(63) - shift))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -103,6 +116,16 @@ class EliasFano:
         more = np.where(shift > 0, self.low[word + 1] << ((U64(64) - shift) & U64(63)), U64(0))
         return (value | more) & U64((1 << self.low_bits) - 1)
 
+    def get_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values i and i + 1."""
+        at = self._select(self.ones, i, False)
+        window = self._window(at + 1)
+        after = at + 1 + _trailing_zeros(window).astype(np.int64)
+        far = np.flatnonzero(window == 0)
+        after[far] = self._select(self.ones, i[far] + 1, False)
+        low = U64(self.low_bits)
+        return ((at - i).astype(U64) << low) | self._low(i), ((after - i - 1).astype(U64) << low) | self._low(i + 1)
+
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(self.ones, i, False) - i).astype(U64) << U64(self.low_bits)) | self._low(i)
 
@@ -115,8 +138,12 @@ class EliasFano:
         last = len(self.high) * 64 - self.n  # zeros in all
         ask = np.flatnonzero((bucket >= 0) & (bucket < last - 1))
         bucket = bucket[ask]
-        lo = np.where(bucket > 0, self._select(self.zeros, np.maximum(bucket - 1, 0), True) - (bucket - 1), 0)
-        hi = self._select(self.zeros, bucket, True) - bucket
+        begin = np.where(bucket > 0, self._select(self.zeros, np.maximum(bucket - 1, 0), True) + 1, 0)
+        window = ~self._window(begin)  # ones from there on are the bucket
+        lo = begin - bucket
+        hi = lo + _trailing_zeros(window).astype(np.int64)
+        far = np.flatnonzero(window == 0)
+        hi[far] = self._select(self.zeros, bucket[far], True) - bucket[far]
         rest = x[ask] & U64((1 << self.low_bits) - 1)
         end = hi.copy()
         while True:
@@ -235,7 +262,7 @@ class Model:
             pointers = EliasFano({k[4:]: v for k, v in held.items() if k.startswith("ptr_")})
             successors = EliasFano({k[5:]: v for k, v in held.items() if k.startswith("succ_")})
             distinct, back = np.unique(context[rows] - bounds[s], return_inverse=True)
-            lo, hi = pointers.get(distinct).astype(np.int64), pointers.get(distinct + 1).astype(np.int64)
+            lo, hi = (x.astype(np.int64) for x in pointers.get_two(distinct))
             base = np.where(lo > 0, successors.get(np.maximum(lo - 1, 0)), U64(0))
             weight[rows] = held["weight_book"][held["weights"][distinct]][back]
             ask = np.flatnonzero(word[rows] >= 0)

@@ -3,8 +3,9 @@
 Base rules look at words, symbols, repeated lines and repeated three-word windows. The fertility rules encode every
 distinct word with public vocabularies and measure, over the whole text: characters per token, the share of tokens
 that are byte fall-backs, the entropy of the tokens in bits, and characters per token of the second vocabulary. A text
-outside its language's band in any of them is rejected;
-a language without a band of its own takes its script's, then the widest.
+outside its language's band in any of them is rejected, and so is one written mostly in another script than its
+language's; a language without a band of its own takes its script's, then the widest. ``fit`` draws bands from labelled
+documents: the least values are a low quantile of good ones, by language and by script.
 
 Edge cases: a null, empty or blank text has no words, all measures are zero and it fails the base rules; repeated rows
 each get their row; an unknown or null language falls back to the script; extra columns do not matter.
@@ -35,23 +36,30 @@ class Band:
     least_chars_bpe: float
 
 
-# Bands by language, then by script. The least values by language are the 0.0025 quantile of documents labelled good that pass
-# the base rules (even ids of sf0.1; entropy: of those with 200 tokens). README: shares rejected of other good ones and of junk.
+# Bands by language, then by script. The least values of the languages and of Latin script are what ``fit`` gives for the even ids of
+# sf0.1. README: shares rejected of other good documents and of junk. Scripts without labelled documents have wide bands.
+QUANTILE = 0.0025
 BANDS = {
     "en": Band(2.049, 7.5, 0.03, 6.021, 2.118),
     "de": Band(2.061, 7.5, 0.05, 5.997, 1.882),
     "fr": Band(1.734, 7.5, 0.05, 5.955, 1.751),
     "es": Band(1.803, 7.5, 0.05, 5.866, 1.657),
 }
-SCRIPTS = {"latin": Band(1.4, 8.0, 0.10, 3.5, 1.4), "other": Band(0.2, 8.0, 0.95, 2.0, 0.2)}
+LANGUAGE_SCRIPT = dict.fromkeys(BANDS, "latin")
+SCRIPTS = {"latin": Band(1.734, 8.0, 0.10, 5.866, 1.657), "greek": Band(0.4, 8.0, 0.95, 3.5, 0.4), "cyrillic": Band(0.4, 8.0, 0.95, 3.5, 0.4)}
+WIDEST = Band(0.2, 8.0, 0.95, 2.0, 0.2)
+# First bytes of UTF-8 letters by script, as ranges.
+LEADS = {"latin": [(65, 91), (97, 123), (0xC3, 0xCA)], "greek": [(0xCD, 0xD0)], "cyrillic": [(0xD0, 0xD4)], "hebrew": [(0xD6, 0xD8)], "arabic": [(0xD8, 0xDC)], "indic": [(0xE0, 0xE1)], "east asian": [(0xE3, 0xEE)]}
 ENTROPY_FROM = 200
 KEEP_WORDS = 400_000  # words whose pieces a worker remembers
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_per_token double, byte_share double, token_bits double, chars_per_token_bpe double, latin_share double"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_per_token double, byte_share double, token_bits double, chars_per_token_bpe double, script long"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SCRIPT = np.zeros((len(LEADS), 256), bool)
+for _i, _ranges_of in enumerate(LEADS.values()):
+    for _a, _b in _ranges_of:
+        _SCRIPT[_i, _a:_b] = True
 
 
 class Vocabularies:
@@ -129,11 +137,10 @@ def measure(data: np.ndarray, offsets: np.ndarray, vocabularies: Vocabularies |
         covered[twice + k] = True
     out["n_repeat_words"] = _sums(covered, words.first)
     zero = np.zeros(len(n))
-    out |= {"chars_per_token": zero, "byte_share": zero, "token_bits": zero, "chars_per_token_bpe": zero, "latin_share": zero}
+    out |= {"chars_per_token": zero, "byte_share": zero, "token_bits": zero, "chars_per_token_bpe": zero, "script": zero}
     if vocabularies is None or not len(owner):
         return out
-    letters = _sums(_LETTER[data] | ((data >= 0xC3) & (data <= 0xC9)), offsets)
-    out["latin_share"] = letters / np.maximum(out["word_chars"], 1)
+    out["script"] = np.stack([_sums(x[data], offsets) for x in _SCRIPT]).argmax(0)
     distinct, seen, which = np.unique(words.hash, return_index=True, return_inverse=True)
     text_of = lambda i: raw[words.start[seen[i]] : words.end[seen[i]]].decode()
     place = vocabularies.look_up(distinct, text_of)[which]
@@ -180,12 +187,39 @@ def verdict(lang: F.Column, bands: dict[str, Band] = BANDS, scripts: dict[str, B
         rich = (F.col("token_bits") >= b.least_bits) | (tokens < ENTROPY_FROM)
         return F.col("chars_per_token").between(b.least_chars, b.most_chars) & (F.col("chars_per_token_bpe") >= b.least_chars_bpe) & (F.col("byte_share") <= b.most_bytes) & rich
 
-    out = F.when(F.col("latin_share") >= 0.5, within(scripts["latin"])).otherwise(within(scripts["other"]))
+    script = lambda name: F.col("script") == list(LEADS).index(name)
+    out = within(WIDEST)
+    for name, band in scripts.items():
+        out = F.when(script(name), within(band)).otherwise(out)
     for name, band in bands.items():
-        out = F.when(lang.eqNullSafe(name), within(band)).otherwise(out)
+        right = script(LANGUAGE_SCRIPT[name]) if name in LANGUAGE_SCRIPT else F.lit(True)
+        out = F.when(lang.eqNullSafe(name), right & within(band)).otherwise(out)
     return out
 
 
+def fit(docs: DataFrame, labels: DataFrame, piece_model: str, bpe_ranks: str, quantile: float = QUANTILE, most_rows: int = 20_000, least_rows: int = 100) -> tuple[dict, dict]:
+    """Bands by language and by script from labelled documents (``docs``: doc_id, lang, text; ``labels``: doc_id, quality).
+
+    The least values are the ``quantile`` of documents with quality 1 that pass the base rules (entropy: of those with
+    ``ENTROPY_FROM`` tokens); the upper limits stay as set. At most ``most_rows`` documents are measured, those with the least hashes
+    of ``doc_id``; groups of fewer than ``least_rows`` get no band.
+    """
+    good = labels.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    rows = measures(docs.select("doc_id", "lang", "text").join(F.broadcast(good), "doc_id"), ["lang"], piece_model, bpe_ranks).where(~base_failed())
+    tokens = F.col("word_chars") / F.greatest("chars_per_token", F.lit(1e-9))
+    low = [F.percentile(c, F.lit(quantile)).alias(c) for c in ("chars_per_token", "chars_per_token_bpe")]
+    low.append(F.percentile(F.when(tokens >= ENTROPY_FROM, F.col("token_bits")), F.lit(quantile)).alias("token_bits"))
+    out: list[dict] = []
+    for by, given in (("lang", BANDS), ("script", SCRIPTS)):
+        found = {}
+        for r in rows.groupBy(by).agg(F.count("*").alias("n"), *low).where((F.col("n") >= least_rows) & F.col(by).isNotNull()).collect():  # one row a language or script
+            name = list(LEADS)[r["script"]] if by == "script" else r["lang"]
+            base = given.get(name, WIDEST)
+            found[name] = Band(r["chars_per_token"], base.most_chars, base.most_bytes, r["token_bits"] or base.least_bits, r["chars_per_token_bpe"])
+        out.append(found)
+    return out[0], out[1]
+
+
 def base_failed() -> F.Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 

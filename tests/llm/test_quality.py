@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from rowloom.llm import quality, queries
@@ -57,12 +58,30 @@ def test_labelled_junk_goes(spark):
     assert sum(not r["kept"] for r in rows) >= 0.6 * len(rows) > 0
 
 
-def test_bands_reject(spark):
-    import random
+def test_bands_are_what_the_labels_give(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").where("doc_id % 2 = 0") for t in ("documents", "labels"))
+    bands, scripts = quality.fit(docs, labels, queries.vocabulary("piece_bpe_32k.model"), queries.vocabulary("byte_bpe_50k.tiktoken"))
+    assert set(bands) == set(quality.BANDS) and set(scripts) == {"latin"}
+    for name, band in bands.items():
+        want = quality.BANDS[name]
+        for field in ("least_chars", "least_bits", "least_chars_bpe"):
+            assert abs(getattr(band, field) - getattr(want, field)) < 0.002, (name, field, band)
+
 
-    noise = " ".join("".join(random.Random(i).choices("xqzjkvw#%{}", k=9)) for i in range(120))
-    docs = spark.createDataFrame([(1, noise, "en"), (2, noise, None)], "doc_id long, text string, lang string")
-    assert [r["kept"] for r in judge(docs, ["doc_id"]).collect()] == [False, False]
+def test_bands_reject(spark):
+    rng = random.Random(3)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    clean = next(r["text"] for r in docs.join(labels, "doc_id").where("lang = 'en' and quality = 1 and toxic = 0").orderBy("doc_id").collect() if len(r["text"].split()) > 200)
+    words = clean.split()
+    noise = " ".join("".join(rng.choices("xqzjkvw#%{}", k=9)) for _ in range(120))
+    garbled = " ".join("".join(rng.sample(w, len(w))) + rng.choice("#~^") for w in words)
+    cyrillic = " ".join("".join(rng.choices("абвгдежзиклмнопрст", k=rng.randint(2, 9))) for _ in range(200))
+    fallback = " ".join("".join(chr(rng.randint(0x10400, 0x1044F)) for _ in range(5)) for _ in range(150))
+    mixed = " ".join(w + chr(rng.randint(0x1F600, 0x1F640)) for w in words)
+    rows = [(1, noise, "en"), (2, noise, None), (3, garbled, "en"), (4, cyrillic, "en"), (5, fallback, "en"), (6, fallback, "xx"), (7, mixed, "en"), (8, clean, "en"), (9, clean, None), (10, cyrillic, "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in judge(docs, ["doc_id"]).collect() if r["kept"]} == {8, 9, 10}
 
 
 def test_edge_cases(spark):
