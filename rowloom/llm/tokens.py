@@ -12,7 +12,8 @@ Blob layout (little endian):
 
 The table's other columns index the chunks: ``part`` and ``chunk`` (their order), ``first`` (ids before it in the
 part), ``n_ids``, and ``docs`` (doc_id, offset in the chunk, n_tokens). Parts ascend in doc_id (nulls first; equal
-ids are ordered by a hash of the text). Written through Spark's own commit protocol, a retried task leaves no trace.
+ids are ordered by a hash of the text), or keep the order of the rows as they come (``order="given"``, for shuffled
+ones: nothing is sorted or moved). Written through Spark's own commit protocol, a retried task leaves no trace.
 
 Edge cases: null or empty texts have the end id only; an empty table gives an empty token table; extra columns go unread.
 """
@@ -145,10 +146,13 @@ class ByteBPE:
         return out
 
 
-def token_table(docs: DataFrame, vocabulary: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", planes: str = "byte") -> DataFrame:
+def token_table(docs: DataFrame, vocabulary: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", planes: str = "byte", order: str = "doc_id") -> DataFrame:
     """The token table of ``docs`` (columns as above), not yet written. ``vocabulary`` is a path every executor has."""
+    if order not in ("doc_id", "given"):
+        raise ValueError("order is doc_id or given")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    by_id = ["doc_id", F.xxhash64("text")]
+    ordered = rows if order == "given" else rows.repartitionByRange(*by_id).sortWithinPartitions(*by_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

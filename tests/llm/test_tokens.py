@@ -74,3 +74,14 @@ def test_edge_cases(spark, tmp_path):
     assert [r["start"] for r in got] == [0, 2, 4, 6, 7]
     assert np.frombuffer(got[3]["ids"], "<u4").tolist() == [0] and got[4]["n_tokens"] > 300_000
     assert tokens.encode_and_read_back(docs.limit(0), VOCABULARY).count() == 0
+
+
+def test_given_order_is_kept(spark, tmp_path):
+    rows = [(7, "seven of them"), (1, "one"), (7, "seven of them"), (3, "three"), (None, None), (2, "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    tokens.write_tokens(docs, str(tmp_path / "t"), VOCABULARY, order="given")
+    got = sorted(tokens.read_tokens(spark, str(tmp_path / "t")).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [d for d, _ in rows]
+    many = spark.range(0, 5000, 1, 6).selectExpr("(id * 7919) % 5000 as doc_id", "repeat('w ', int(id % 9)) as text")
+    given = [r["doc_id"] for r in tokens.encode_and_read_back(many, VOCABULARY, order="given").orderBy("start").collect()]
+    assert given == [i * 7919 % 5000 for i in range(5000)]
