@@ -30,8 +30,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids written as planes and read back: doc_id, start, n_tokens, ids_crc32."""
-    return tokens.encode_and_read_back(docs, vocabulary("byte_bpe_50k.json"))
+    """Token ids written as planes in the shuffled order, and read back: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.encode_and_read_back(docs, vocabulary("byte_bpe_50k.json"), order="given")
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination), ("source_mix", source_mix), ("token_output", token_output)]
