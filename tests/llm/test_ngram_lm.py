@@ -59,6 +59,9 @@ def test_elias_fano(n, top):
     values = np.unique(np.random.default_rng(n).integers(0, top, n, dtype=np.uint64))
     ef = EliasFano(EliasFano.build(values))
     assert (ef.get(np.arange(len(values))) == values).all()
+    if n > 1:
+        one, two = ef.get_two(np.arange(len(values) - 1))
+        assert (one == values[:-1]).all() and (two == values[1:]).all()
     assert (ef.find(values) == np.arange(len(values))).all()
     others = np.setdiff1d(np.random.default_rng(n + 1).integers(0, 2 * top, 300, dtype=np.uint64), values)
     assert (ef.find(others) == -1).all()
@@ -69,6 +72,15 @@ def test_elias_fano_repeats():
     assert (EliasFano(EliasFano.build(values)).get(np.arange(10)) == values).all()
 
 
+def test_elias_fano_dense_and_sparse_runs():
+    values = np.concatenate([np.arange(0, 400), 10**6 + np.arange(0, 300, 3), [10**9], 2**40 + np.arange(200)]).astype(np.uint64)
+    ef = EliasFano(EliasFano.build(values))
+    assert (ef.get(np.arange(len(values))) == values).all() and (ef.find(values) == np.arange(len(values))).all()
+    one, two = ef.get_two(np.arange(len(values) - 1))
+    assert (one == values[:-1]).all() and (two == values[1:]).all()
+    assert (ef.find(values[399:-1] + np.uint64(1)) == np.where(values[400:] == values[399:-1] + 1, np.arange(400, len(values)), -1)).all()
+
+
 def compare(model, docs, rows):
     held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in docs}
     assert len(rows) == len(docs)
