@@ -10,8 +10,9 @@ tells the top of the stack there. What is open at the start of a range is carrie
 (one row a range). Of the rules met by a URL's keys the longest wins (host and path together; then the longer host;
 then the first by host and path). Equal rules with both verdicts: ``block`` wins.
 
-Edge cases: a null URL or one without ``://`` has an empty host and path and meets no rule; repeated URLs are judged once
-and each row gets the verdict; no rules or no URLs are fine; extra columns are kept.
+Edge cases: a null URL or one without ``://`` has an empty host and path and meets no rule (such rows take no part in the
+join, however many they are); repeated URLs are judged once and each row gets the verdict; no rules or no URLs are
+fine; extra columns are kept, those named like a result under that name with ``_given`` after it.
 """
 
 from __future__ import annotations
@@ -88,7 +89,18 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (null where none holds) and ``verdict`` (``default`` where none holds)."""
-    taken = {"host", "path", "rule", "verdict"} & set(pages.columns)
-    rows = pages.drop(*taken).withColumns({"host": host_of(F.col(f"`{url}`")), "path": path_of(F.col(f"`{url}`"))})
+    names = set(pages.columns)
+    given = {}
+    for c in ("host", "path", "rule", "verdict"):
+        if c in names:
+            given[c] = f"{c}_given"
+            while given[c] in names:
+                given[c] += "_"
+    source = given.get(url, url)
+    plain = pages.withColumnsRenamed(given)
+    rows = plain.withColumns({"host": host_of(F.col(f"`{source}`")), "path": path_of(F.col(f"`{source}`"))})
     found = match(rows.select("host", "path").distinct(), rules)
-    return rows.join(found, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    judged = rows.where("host <> ''").join(found, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    columns = [F.col(f"`{c}`") for c in [*plain.columns, "host", "path", "rule", "verdict"]]
+    hostless = rows.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    return judged.select(*columns).union(hostless.select(*columns))

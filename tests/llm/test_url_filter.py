@@ -51,6 +51,10 @@ def test_edge_cases(spark):
     rules = spark.createDataFrame([("com/", "allow"), ("com/", "block"), (None, "block"), ("net/", None)], "rule string, verdict string")
     got = sorted(url_filter.judge(pages, rules).select("host", "rule", "verdict", "extra").collect(), key=str)
     assert [tuple(r) for r in got] == [("", None, "allow", 2), ("a.com", "com/", "block", 1), ("a.com", "com/", "block", 1)]
+    assert sorted(r["host_given"] or "" for r in url_filter.judge(pages, rules).collect()) == ["", "old", "old"]
+    clash = spark.createDataFrame([("mine", "http://a.com/x", "p", "r")], "path string, host string, path_given string, rule string")
+    row = url_filter.judge(clash, rules, url="host").first().asDict()
+    assert row == {"path_given_": "mine", "host_given": "http://a.com/x", "path_given": "p", "rule_given": "r", "host": "a.com", "path": "/x", "rule": "com/", "verdict": "block"}
     assert url_filter.judge(pages.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_filter.judge(pages, rules.limit(0), default="block").collect()} == {"block"}
 
