@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every round is joins and minimum aggregates, so a hub of any degree is split like any other skewed key;
-neighbour lists are never built. Each round is written to the shared folder, which cuts the lineage.
+Every round is joins and minimum aggregates; neighbour lists are never built. The minima are written before they are
+joined, so that the join deals both of its sides itself and can split the links of a hub of any degree like any
+other skewed key. Each round is written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     rounds = 0
     while mark[0]:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"large{rounds}")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large, f"star{rounds}")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), f"small{rounds}")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         rounds += 1
         links, now = _settle(small.union(low.select("u", F.col("m").alias("v"))).distinct(), rounds)

@@ -194,8 +194,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row a document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (the smallest id reachable)."""
     table = materialise(add_fingerprint(docs, [doc_id], text).select(F.col(f"`{doc_id}`").alias("doc_id"), "fp"), "fingerprints")
     root = materialise(classes(table), "classes")
-    lowest = table.groupBy("fp").agg(F.min("doc_id").alias("low")).join(root, "fp")
-    named = root.join(lowest.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
+    lowest = materialise(table.groupBy("fp").agg(F.min("doc_id").alias("low")), "lowest")
+    roots = materialise(lowest.join(root, "fp").groupBy("root").agg(F.min("low").alias("component_id")), "roots")
+    named = materialise(root.join(roots, "root").select("fp", "component_id"), "named")  # written, so that the next join can split a hot fingerprint
     return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -100,9 +102,11 @@ def test_links_of_a_dense_group_and_crowded_anchors(spark, monkeypatch):
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in want.values()}
 
 
-def test_query_matches_brute_force(spark, sf_dir):
+@pytest.mark.parametrize("wide_from", [simhash.WIDE_FROM, 1])
+def test_query_matches_brute_force(spark, sf_dir, monkeypatch, wide_from):
     from rowloom.llm import queries
 
+    monkeypatch.setattr(simhash, "WIDE_FROM", wide_from)  # both covers end to end
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     ids = sorted(docs)
     prints = [brute_fingerprint(docs[i]) for i in ids]
