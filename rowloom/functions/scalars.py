@@ -97,7 +97,7 @@ def rounded(x, unit=None):
     c = V.number0(x)
     u = F.lit(1.0) if unit is None else V.number0(unit)
     q = F.try_divide(c, u)
-    return Value(F.when(F.abs(u) < V.EPSILON, c).otherwise(F.signum(q) * F.floor(F.abs(q) + 0.5) * u).cast("double"), "num")
+    return Value(F.when(F.abs(u) < V.EPSILON, c).otherwise(V.half_away(q) * u).cast("double"), "num")
 
 
 def _truncate(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ class Value:
     type: str  # null int num bool str date ts other
     literal: object = None
     is_literal: bool = False
+    sure: bool = False  # a boolean that is never missing
 
 
 def type_of(kind: T.DataType) -> str:
@@ -108,6 +110,8 @@ def text(v: Value) -> Column:
 
 def boolean(v: Value) -> Column:
     nested(v)
+    if v.sure:
+        return v.col
     if v.type == "bool":
         return F.coalesce(v.col, F.lit(False))
     if v.type in ("int", "num"):
@@ -121,9 +125,38 @@ def missing(v: Value) -> Column:
     return v.col.isNull() | (v.col == "") if v.type == "str" else v.col.isNull()
 
 
+def _against(op: str, a: Value, b: Value) -> Column | None:
+    """A numeric column against a numeric literal, as filters of a scan can have it: the column itself is compared, and missing counts as 0."""
+    if a.is_literal or not b.is_literal or a.type not in ("int", "num") or b.type not in ("int", "num"):
+        return None
+    x = b.literal
+    if a.type == "int":
+        if x != x or abs(x) >= 2**52 or x != int(x):
+            return None
+        x = int(x)
+    elif op == "=" and not abs(x) >= 2:  # nearer to 0, other values count as equal too
+        return None
+    else:
+        x = float(x)
+    y = F.lit(x)
+    c = a.col if a.type == "int" else a.col.cast("double")
+    test = {"=": c == y, "<": c < y, "<=": c <= y, ">": c > y, ">=": c >= y}[op]
+    zero = {"=": x == 0, "<": 0 < x, "<=": 0 <= x, ">": 0 > x, ">=": 0 >= x}[op]
+    return a.col.isNull() | test if zero else a.col.isNotNull() & test
+
+
+_TURNED = {"=": "=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
 def equal(a: Value, b: Value) -> Column:
+    """Never missing."""
     nested(a), nested(b)
     if a.type in NUMERIC and b.type in NUMERIC:
+        plain = _against("=", a, b)
+        if plain is None:
+            plain = _against("=", b, a)
+        if plain is not None:
+            return plain
         if a.type == b.type == "int":
             return F.coalesce(a.col, F.lit(0)) == F.coalesce(b.col, F.lit(0))
         x, y = number0(a), number0(b)
@@ -136,6 +169,7 @@ def equal(a: Value, b: Value) -> Column:
 
 
 def compare(op: str, a: Value, b: Value) -> Column:
+    """Never missing."""
     nested(a), nested(b)
     if a.type not in NUMERIC and (a.type == b.type or {a.type, b.type} <= {"date", "ts"}):
         x, y = a.col, b.col
@@ -144,9 +178,15 @@ def compare(op: str, a: Value, b: Value) -> Column:
             raise refuse("dates compare with dates only")
         return F.lit(False)
     else:
+        plain = _against(op, a, b)
+        if plain is None:
+            plain = _against(_TURNED[op], b, a)
+        if plain is not None:
+            return plain
         x, y = number0(a), number0(b)
     out = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
-    return F.coalesce(out, F.lit(False))
+    known = [v.col.isNotNull() for v in (a, b) if not v.is_literal and v.type not in NUMERIC]
+    return reduce(lambda p, q: p & q, [*known, out])
 
 
 def divide(x: Column, y: Column) -> Column:
@@ -158,6 +198,13 @@ def modulo(x: Column, y: Column) -> Column:
     return F.when(x.isNull() | y.isNull(), None).when(y == 0, NAN).otherwise(F.try_mod(x, y))
 
 
+def half_away(q: Column) -> Column:
+    """The nearest whole number, halves away from zero; the fraction itself is compared, as adding a half may round."""
+    a = F.abs(q)
+    low = F.floor(a).cast("double")
+    return F.when(a < 2.0**52, F.signum(q) * (low + F.when(a - low >= 0.5, 1.0).otherwise(0.0))).otherwise(q)
+
+
 def snap(x: Column) -> Column:
     """A double as the shortest rounding (0 to 13 places) within 1e-12 of it, relative above 1; -0.0 becomes 0.0."""
     near = 1e-12 * F.greatest(F.lit(1.0), F.abs(x))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -26,6 +27,7 @@ class Prepared:
     order: list[str]
     hidden: dict[str, str] = field(default_factory=dict)  # variable (upper case) -> column
     by: list[str] = field(default_factory=list)
+    repeats: Callable[[], DataFrame] | None = None  # of a merge: BY values that are repeated in several sources
 
 
 def quoted(name: str) -> Column:
@@ -101,6 +103,11 @@ def read_inputs(statement: Statement, catalog: Catalog, by: list[str], generated
             raise StepError("RUNTIME_SET_DATASET_NOT_FOUND", f"no dataset {ref.name}", "validate", statement.text)
         sources.append((ref, apply_options(data, ref.options, statement.text)))
     _collisions(statement, sources, by)
+    for _, d in sources:
+        for k in by:
+            found = resolve(k, d.columns)
+            if found is not None and type_of(d.frame.schema[found].dataType) == "other":
+                raise StepError("RUNTIME_BY_PRECONDITION_FAILED", f"{k} is nested and can't order rows", "pre-evaluations", statement.text)
     if statement.kind == "set":
         out = concatenate(statement, sources, by)
     else:
@@ -221,11 +228,12 @@ def merge_by(statement: Statement, sources, by: list[str]) -> Prepared:
         match = reduce(lambda a, b: a & b, [F.col(f"__k{j}").eqNullSafe(F.col(f"__k{i}_{j}")) for j in range(n)]) & (F.col(f"__at{i}") == F.col(f"__rn{i}"))
         out = out.join(p, match, "left").withColumn(f"__in{i}", F.col(f"__n{i}").isNotNull().cast("int"))
     frame = out.select(*[F.col(f"__k{j}").alias(k) for j, k in enumerate(keys)], *[quoted(c) for c in names[n:]], *[f"__in{i}" for i in range(len(sources))], "__slot")
-    return Prepared(frame, names, [*keys, "__slot"], hidden, keys)
+    repeats = lambda: repeated_by_values([d.frame.select(*[quoted(resolve(k, d.columns)).alias(k) for k in keys]) for _, d in sources], keys)
+    return Prepared(frame, names, [*keys, "__slot"], hidden, keys, repeats)
 
 
 def repeated_by_values(sources: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Keys that are repeated in two sources or more (the warning about them costs a job, so it is not made by default)."""
+    """Keys that are repeated in two sources or more (the warning about them costs a job, so it is made with ``check_outputs`` only)."""
     each = [s.groupBy(*keys).count().where("count > 1").select(*keys) for s in sources]
     return reduce(lambda a, b: a.union(b), each).groupBy(*keys).count().where("count > 1").select(*keys)
 

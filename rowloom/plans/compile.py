@@ -24,6 +24,7 @@ from .ast import Block, Call, Literal, Name, Statement, expressions, in_statemen
 from .typed import NeedsRowLoop, Scope, evaluate
 
 UNROLL = 64
+PROBED = 20
 
 
 @dataclass
@@ -144,8 +145,16 @@ class Step:
         for k in self.names:
             self.env.setdefault(k, lit(None))
 
+    def by_column(self) -> str:
+        return need(self.by[0], list(self.p.columns))
+
     def scope(self) -> Scope:
-        return Scope(self.env, self.arrays, self.formats, self.offset, self.functions)
+        return Scope(self.env, self.arrays, self.formats, self.offset, self.functions, self.probe)
+
+    def probe(self, args: list[Value]) -> list[tuple]:
+        """What the first rows hold (``PROBED`` at most, for the type of a function's result)."""
+        columns = [a.col.cast("double") if a.type in ("num", "null") else a.col for a in args]
+        return [tuple(r) for r in self.frame.select(*[c.alias(f"a{i}") for i, c in enumerate(columns)]).limit(PROBED).collect()]
 
     def eval(self, e) -> Value:
         return evaluate(e, self.scope())
@@ -171,6 +180,7 @@ class Step:
 
     def offsets(self) -> None:
         self.offset_columns: dict[tuple, Value] = {}
+        self.queues: dict[int, Call] = {}
         moves: list[tuple[str, str, Column, int]] = []
         moved: list[tuple[tuple, Value, Value, str | None]] = []
         for s in walk(self.block.statements):
@@ -178,7 +188,8 @@ class Step:
                 if isinstance(e, Call) and e.name in ("lag", "lead", "shift") and e.args:
                     spec = self.offset_spec(e)
                     if spec is None:
-                        raise NeedsRowLoop(f"{e.name} of an expression")
+                        self.queued(s, e)
+                        continue
                     name, n, default = spec
                     source = self.source.get(name.upper())
                     at = (name.upper(), n, default.literal)
@@ -197,10 +208,29 @@ class Step:
             col = V.cast(source, kind) if here is None else F.when(F.col(f"__is{here}"), V.cast(Value(F.col(f"__at{here}"), source.type), kind)).otherwise(V.cast(default, kind))
             self.offset_columns[at] = self.keep(col, kind)
 
+    def queued(self, s: Statement, e: Call) -> None:
+        """Note a lag of an expression; one that every row executes, alone in its queue, is the neighbour's value."""
+        rest = [a.value if isinstance(a, Literal) else NotImplemented for a in e.args[1:]]
+        n = int(rest[0]) if rest and isinstance(rest[0], (int, float)) else 1
+        if e.name == "shift" and n < 0:
+            n = -n
+        elif e.name != "lag":
+            raise NeedsRowLoop(f"{e.name} of an expression")
+        plain = NotImplemented not in rest and n > 0 and s.kind in ("assign", "if", "subset") and any(x is s for x in self.block.statements)
+        if not plain or n in self.queues or any(x.kind == "stop" for x in walk(self.block.statements)):
+            raise NeedsRowLoop(f"{e.name} of an expression")
+        self.queues[n] = e
+
     def offset(self, e: Call) -> Value:
         spec = self.offset_spec(e)
         if spec is None:
-            raise NeedsRowLoop(f"{e.name} of an expression")
+            n = next((n for n, x in self.queues.items() if x is e), None)
+            if n is None or self.alive is not None:
+                raise NeedsRowLoop(f"{e.name} of an expression")
+            source, default = self.eval(e.args[0]), lit(e.args[2].value if len(e.args) > 2 else None)
+            kind = V.join(source.type, default.type)
+            self.frame = whole_order.neighbours(self.frame, self.p.order, [(f"__qis{n}", f"__qat{n}", V.cast(source, kind), -n)])
+            return Value(F.when(F.col(f"__qis{n}"), F.col(f"__qat{n}")).otherwise(V.cast(default, kind)), kind)
         return self.offset_columns[spec[0].upper(), spec[1], spec[2].literal]
 
     def check_state(self) -> None:
@@ -235,6 +265,8 @@ class Step:
                 if s.data["var"].upper() in seen and s.data["var"].upper() in sums:
                     raise NeedsRowLoop(f"two sums into {s.data['var']}")
                 seen.add(s.data["var"].upper())
+            elif s.kind == "assign" and s.data.get("var", "").upper() in seen & sums:
+                raise NeedsRowLoop(f"{s.data['var']} is set after its sum")
             elif {e.name.upper() for e in in_statement(s) if isinstance(e, Name)} & (sums - seen):
                 raise NeedsRowLoop("a sum is read before it is made")
         counts: dict[str, int] = {}
@@ -484,10 +516,10 @@ def where_statement(e, scope: Scope) -> Value:
     from .ast import Binary, Unary
 
     if isinstance(e, Unary):
-        return Value(V.missing(evaluate(e.arg, scope)), "bool") if e.op == "isnull" else Value(~V.boolean(where_statement(e.arg, scope)), "bool")
+        return Value(V.missing(evaluate(e.arg, scope)), "bool", sure=True) if e.op == "isnull" else Value(~V.boolean(where_statement(e.arg, scope)), "bool", sure=True)
     if isinstance(e, Binary) and e.op in ("and", "or"):
         a, b = V.boolean(where_statement(e.left, scope)), V.boolean(where_statement(e.right, scope))
-        return Value(a & b if e.op == "and" else a | b, "bool")
+        return Value(a & b if e.op == "and" else a | b, "bool", sure=True)
     return evaluate(e, scope)
 
 

@@ -1,7 +1,9 @@
 """The ordered row loop: for steps whose state no window expresses.
 
-Prepared rows stream, sorted, through one task in Arrow batches; memory holds one batch and the step's variables. Only
-columns the step reads go in beside those it passes on. WHERE without state is applied before.
+Prepared rows stream, sorted, through Arrow batches; memory holds one batch and the step's variables. A step whose state
+is all reset under FIRST. of its first BY key needs the order within that key's groups only, so groups are dealt to all
+tasks; any other state can depend on every earlier row, so its rows go through one task. Only columns the step reads go
+in beside those it passes on. WHERE without state is applied before.
 """
 
 from __future__ import annotations
@@ -62,6 +64,32 @@ def infer(step) -> dict[str, str]:
     return kinds
 
 
+def reset_by_group(step) -> bool:
+    """Whether all state begins anew, by literals, with each group of the first BY key, before anything looks at it."""
+    if not step.by or "_N_" in step.wanted or step.options.retain_initial:
+        return False
+    every = list(walk(step.block.statements))
+    state = {s.data["var"].upper() for s in every if s.kind == "sum"} - set(step.source) | {n.upper() for n in step.retained}
+    if state & set(step.source) or any(s.kind == "stop" for s in every):
+        return False
+    for s in every:
+        for e in in_statement(s):
+            if isinstance(e, Call) and e.name in ("lag", "lead", "shift") and (not e.args or step.offset_spec(e) is None):
+                return False
+    flag, left = f"FIRST.{step.by[0].upper()}", set(state)
+    for s in step.block.statements:
+        if s.kind == "if" and isinstance(s.data["cond"], Name) and s.data["cond"].name.upper() == flag and not s.orelse and all(x.kind == "assign" and "var" in x.data and isinstance(x.data["expr"], Literal) for x in s.body):
+            left -= {x.data["var"].upper() for x in s.body}
+            continue
+        used = {e.name.upper() for x in walk([s]) for e in in_statement(x) if isinstance(e, Name)}
+        used |= {x.data["var"].upper() for x in walk([s]) if x.kind in ("assign", "sum") and "var" in x.data}
+        if used & left:
+            return False
+        if any(x.kind in ("subset", "delete") for x in walk([s])) and left:
+            return False
+    return not left and bool(state)
+
+
 def run_loop(step) -> dict[str, Dataset]:
     from .compile import shape
     from .interpret import Program
@@ -100,9 +128,15 @@ def run_loop(step) -> dict[str, Dataset]:
     order = list(step.p.order)
     if stateless and offsets:
         raise StepError("RUNTIME_EXPRESSION_EVALUATION_ERROR", "positional lag and runtime state with where need separate steps", "execute")
-    ordered = frame.select(*columns, *[quoted(c).alias(f"s{i}") for i, c in enumerate(order)]).repartition(1).sortWithinPartitions(*[F.col(f"s{i}").asc_nulls_last() for i in range(len(order))])
+    grouped = inner[step.by_column()] if reset_by_group(step) and (not step.where or stateless) else None
+    dealt = frame.select(*columns, *[quoted(c).alias(f"s{i}") for i, c in enumerate(order)])
+    dealt = dealt.repartition(grouped) if grouped else dealt.repartition(1)
+    ordered = dealt.sortWithinPartitions(*[F.col(f"s{i}").asc_nulls_last() for i in range(len(order))])
     names = list(step.names.items())
     schema = T.StructType([T.StructField("t", T.StringType()), T.StructField("__o0", T.LongType())])
+    places = [f"s{i}" for i in range(len(order))] if grouped else []  # groups lie in several tasks: rows are ordered as they came, then by number
+    for c in places:
+        schema = schema.add(f"__{c}", ordered.schema[c].dataType)
     for i, (k, _) in enumerate(names):
         kind = step.types[k] if k in step.types and kinds.get(k) == step.source[k].type else _SPARK[kinds.get(k, "null")]
         schema = schema.add(f"v{i}", kind)
@@ -119,16 +153,18 @@ def run_loop(step) -> dict[str, Dataset]:
 
         wanted = to_arrow_schema(T.StructType.fromJson(json.loads(schema_json)))
         state = program.start()
-        number = 0
+        number, group = 0, NotImplemented
         for batch in batches:
             rows = batch.to_pylist()
             out: list[dict] = []
             for r in rows:
+                if grouped and r[grouped] != group:
+                    group, state = r[grouped], program.start()
                 values = {k: r[c] for k, c in layout["source"]}
                 extra = {n: r[f"h{i}"] for i, n in enumerate(layout["hidden"])} | ({"_N_": r["n"]} if layout["n"] else {})
                 moved = {tuple(o): r[f"l{i}"] for i, o in enumerate(layout["offsets"])}
                 for target, snapshot in program.row(state, values, extra, moved):
-                    out.append({"t": target, "__o0": number} | {f"v{i}": snapshot.get(k) for i, k in enumerate(program.names)})
+                    out.append({"t": target, "__o0": number} | {f"__{c}": r[c] for c in places} | {f"v{i}": snapshot.get(k) for i, k in enumerate(program.names)})
                     number += 1
                 if state.stopped:
                     break
@@ -143,7 +179,8 @@ def run_loop(step) -> dict[str, Dataset]:
         for i, (_, n) in enumerate(names):
             col = F.col(f"v{i}")
             picked.append((V.snap(col) if step.options.snap_floats and schema[f"v{i}"].dataType == T.DoubleType() else col).alias(n))
-        finished[key] = shape(step, key, Dataset(result.where(F.col("t") == key).select(*picked, "__o0"), ("__o0",)))
+        hidden = (*[f"__{c}" for c in places], "__o0")
+        finished[key] = shape(step, key, Dataset(result.where(F.col("t") == key).select(*picked, *hidden), hidden))
     return finished
 
 

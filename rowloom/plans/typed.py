@@ -19,8 +19,9 @@ class NeedsRowLoop(Exception):
 class Scope:
     """What names mean at one point of a step."""
 
-    def __init__(self, variables: dict[str, Value], arrays: dict[str, list[str]], catalog: formats.Catalog, offset: Callable | None = None, functions: dict | None = None):
+    def __init__(self, variables: dict[str, Value], arrays: dict[str, list[str]], catalog: formats.Catalog, offset: Callable | None = None, functions: dict | None = None, probe: Callable | None = None):
         self.variables, self.arrays, self.catalog, self.offset, self.functions = variables, arrays, catalog, offset, functions or {}
+        self.probe = probe  # gives the values of some columns in a few rows
 
     def value(self, name: str) -> Value:
         return self.variables.get(name.upper(), lit(None))
@@ -35,7 +36,7 @@ def evaluate(e, scope: Scope) -> Value:
         return element(e.array, evaluate(e.at, scope), scope)
     if isinstance(e, Unary):
         v = evaluate(e.arg, scope)
-        return Value(~V.boolean(v), "bool") if e.op == "not" else Value(-V.number(v), "num")
+        return Value(~V.boolean(v), "bool", sure=True) if e.op == "not" else Value(-V.number(v), "num")
     if isinstance(e, Binary):
         return binary(e.op, evaluate(e.left, scope), evaluate(e.right, scope))
     assert isinstance(e, Call)
@@ -105,12 +106,12 @@ def binary(op: str, a: Value, b: Value) -> Value:
         return Value(F.concat(V.text(a), V.text(b)), "str")
     if op in ("and", "or"):
         x, y = V.boolean(a), V.boolean(b)
-        return Value(x & y if op == "and" else x | y, "bool")
+        return Value(x & y if op == "and" else x | y, "bool", sure=True)
     if op in ("=", "^="):
         same = V.equal(a, b)
-        return Value(same if op == "=" else ~same, "bool")
+        return Value(same if op == "=" else ~same, "bool", sure=True)
     if op in ("<", "<=", ">", ">="):
-        return Value(V.compare(op, a, b), "bool")
+        return Value(V.compare(op, a, b), "bool", sure=True)
     if op == "+" and a.type == b.type == "str":
         return Value(F.concat(a.col, b.col), "str")
     x, y = V.number(a), V.number(b)
@@ -147,9 +148,11 @@ def applied(e: Call, scope: Scope) -> Value:
         raise V.StepError("RUNTIME_APPLY_TARGET_UNRESOLVED", f"no function {name}", "execute")
     if kind is None:
         hint = {"abs": float, "str": str, "bool": bool, "all": bool, "any": bool}.get(name) or getattr(target, "__annotations__", {}).get("return")
-        kind = {str: "string", bool: "boolean", "str": "string", "bool": "boolean"}.get(hint, "double")
-    out = {"string": "str", "boolean": "bool"}.get(kind, "num")
+        kind = {str: "string", bool: "boolean", "str": "string", "bool": "boolean"}.get(hint, None if hint is None else "double")
     args = [evaluate(a, scope) for a in e.args[1:]]
+    if kind is None:
+        kind = _probed(target, args, scope)
+    out = {"string": "str", "boolean": "bool"}.get(kind, "num")
     import pandas as pd
 
     def run(*series):
@@ -172,6 +175,18 @@ def applied(e: Call, scope: Scope) -> Value:
     return Value(pandas_udf(packed, kind)(F.struct(*[c.alias(f"a{i}") for i, c in enumerate(columns)])), out)
 
 
+def _probed(target, args: list[Value], scope: Scope) -> str:
+    """The type of what an unannotated function gives for the first rows that it can be called with; a number where it gives nothing."""
+    for row in scope.probe(args) if scope.probe is not None and args else ():
+        try:
+            got = target(*row)
+        except Exception:  # the function's own fault with this row, which shows again when the step is read
+            continue
+        if got is not None:
+            return "string" if isinstance(got, str) else "boolean" if isinstance(got, bool) else "double"
+    return "double"
+
+
 def where_option(e, columns: dict[str, Value]):
     """The predicate of ``where=``: three-valued, as an ordinary filter."""
     if isinstance(e, Unary):

@@ -9,6 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries_more
+from .queries_more import targets
 from .session import Session
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
@@ -74,16 +76,16 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         "SELECT l_orderkey, l_linenumber, round(floor(l_extendedprice * (1 - l_discount) / 0.01 + 0.5) * 0.01, 2) AS disc_price FROM lineitem WHERE l_quantity > 25",
     ),
     "two_targets_benchmark": (
-        program("data hi lo; set lineitem; where l_quantity > 4.5; a = round(l_extendedprice * l_tax, 0.01); b = round(l_quantity / 3, 0.01); if a > 1000 then output hi; else output lo; keep l_orderkey l_linenumber a b; run;", "lineitem", out="hi"),
-        "SELECT l_orderkey, l_linenumber, round(floor(l_extendedprice * l_tax / 0.01 + 0.5) * 0.01, 2) AS a, round(floor(l_quantity / 3 / 0.01 + 0.5) * 0.01, 2) AS b FROM lineitem WHERE l_quantity > 4.5 AND round(floor(l_extendedprice * l_tax / 0.01 + 0.5) * 0.01, 2) > 1000",
+        targets("data hi lo; set lineitem; where l_quantity > 4.5; a = round(l_extendedprice * l_tax, 0.01); b = round(l_quantity / 3, 0.01); if a > 1000 then output hi; else output lo; keep l_orderkey l_linenumber a b; run;", "hi lo", "lineitem"),
+        "SELECT *, CASE WHEN a > 1000 THEN 'hi' ELSE 'lo' END AS target FROM (SELECT l_orderkey, l_linenumber, round(floor(l_extendedprice * l_tax / 0.01 + 0.5) * 0.01, 2) AS a, round(floor(l_quantity / 3 / 0.01 + 0.5) * 0.01, 2) AS b FROM lineitem WHERE l_quantity > 4.5)",
     ),
     "if_else_case": (
         program("data out; set orders; if o_totalprice > 300000 then seg = 'high'; else if o_totalprice > 100000 then seg = 'mid'; else seg = 'low'; keep o_orderkey seg; run;", "orders"),
         "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS seg FROM orders",
     ),
     "multi_output": (
-        program("data ra rn other; set lineitem; if l_returnflag = 'R' then output ra; else if l_returnflag = 'N' then output rn; else output other; keep l_orderkey l_partkey l_returnflag; run;", "lineitem", out="other"),
-        "SELECT l_orderkey, l_partkey, l_returnflag FROM lineitem WHERE l_returnflag NOT IN ('R', 'N')",
+        targets("data ra rn other; set lineitem; if l_returnflag = 'R' then output ra; else if l_returnflag = 'N' then output rn; else output other; keep l_orderkey l_partkey l_returnflag; run;", "ra rn other", "lineitem"),
+        "SELECT l_orderkey, l_partkey, l_returnflag, CASE l_returnflag WHEN 'R' THEN 'ra' WHEN 'N' THEN 'rn' ELSE 'other' END AS target FROM lineitem",
     ),
     "subset_delete": (
         program("data out; set orders; if o_orderstatus = 'F'; if o_totalprice < 1000 then delete; keep o_orderkey; run;", "orders"),
@@ -208,7 +210,7 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "sort_nodupkey": (helper(lambda s: (s.sort("orders", "o_orderkey"), s.sort("orders", ["o_custkey"], out="out", nodupkey=True), s.keep("out", "o_custkey o_orderkey")), "orders"), "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey"),
     "transpose_id": (
         helper(lambda s: (s.load("t", s.sql("select c_nationkey, c_mktsegment, count(*) as n from customer group by all")), s.transpose("t", "c_nationkey", "n", id="c_mktsegment", out="out")), "customer"),
-        "PIVOT customer ON c_mktsegment USING nullif(count(*), 0) GROUP BY c_nationkey",
+        "SELECT c_nationkey, " + ", ".join(f"nullif(count(*) FILTER (WHERE c_mktsegment = '{m}'), 0) AS \"{m}\"" for m in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer GROUP BY c_nationkey",
     ),
     "transpose_rows": (
         helper(lambda s: (s.sort("nation", "n_nationkey"), s.transpose("nation", "n_regionkey", "n_nationkey", out="out"), s.select("out", "n_regionkey _NAME_ COL1 COL2")), "nation"),
@@ -228,5 +230,6 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "apply_udf": (apply_udf, "SELECT o_orderkey, 2 * o_totalprice AS d FROM orders"),
 }
 
+ALL |= queries_more.ALL
 QUERIES = {k: q for k, (q, _) in ALL.items()}
 ORACLE_SQL = {k: s for k, (_, s) in ALL.items() if s}

@@ -11,9 +11,10 @@ from pathlib import Path
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from .diagnostics import LogEntry, StepError, SubmitResult
+from .diagnostics import EMPTY_NOTICE, MISSING_NOTICE, LogEntry, Notice, StepError, SubmitResult
 from .functions.formats import Catalog as Formats
 from .operators import helpers
+from .plans.ast import Literal, expressions, in_statement, walk
 from .plans.compile import Options, Step
 from .plans.parser import parse_program
 from .sources.catalog import Catalog, Dataset, display_of, ingest, key_of, reserved
@@ -37,7 +38,10 @@ class Session:
     def work(self) -> Catalog:
         return self.datasets
 
-    def load(self, name: str, data) -> DatasetView:
+    def load(self, name: str, data, order: str | list[str] | None = None) -> DatasetView:
+        """Register ``data``; ``order`` names the columns that order a Spark frame's rows (else their place does)."""
+        if order is not None:
+            data = ingest(self.spark, data, display_of(name), order.split() if isinstance(order, str) else list(order))
         self.datasets[name] = data
         return self[name]
 
@@ -120,12 +124,25 @@ class Session:
 
     # ---- programs
 
-    def submit(self, code: str, backend: str = "auto", functions: dict | None = None, eager: bool = False, caller_depth: int = 1, **datasets) -> SubmitResult:
-        """Plan the steps of ``code``; outputs are lazy unless ``eager``. On an error no output of the call is published."""
+    def submit(self, code: str, backend: str = "auto", functions: dict | None = None, eager: bool = False, caller_depth: int = 1, display_result: bool = True, **datasets) -> SubmitResult:
+        """Plan the steps of ``code``; outputs are lazy unless ``eager``. On an error no output of the call is published.
+
+        With the option ``check_outputs`` every output is computed once without being kept, so that faults in rows are errors
+        of the call too, and repeated BY values of MERGE are warned of. With ``print_log`` warnings and errors are printed.
+        """
+        result = self._submitted(code, backend, functions, eager, caller_depth + 1, datasets)
+        result.display_result = display_result
+        if self.get_option("print_log") and any(e.level != "info" for e in result.log):
+            result.print_log()
+        return result
+
+    def _submitted(self, code: str, backend: str, functions: dict | None, eager: bool, caller_depth: int, datasets: dict) -> SubmitResult:
         log: list[LogEntry] = []
         times: list[tuple[str, float]] = []
+        notices: list[Notice] = []
         generated: dict[str, Dataset] = {}
         began = time.time()
+        source = code
         caller = inspect.currentframe()
         for _ in range(caller_depth):
             caller = caller.f_back
@@ -138,22 +155,33 @@ class Session:
             inputs = {key_of(k): ingest(self.spark, v, display_of(k)) for k, v in datasets.items()}
             source = self.macro_hook(code) if self.macro_hook else code
             blocks = parse_program(source)
+            notices = _notices(blocks)
             times.append(("parse", time.time() - began))
             known = Options(snap_floats=bool(self.get_option("snap_floats", True)), retain_initial=bool(self.get_option("retain_initial", False)))
             for block in blocks:
                 step = Step(block, self.datasets, self.formats, inputs | generated, known, found, log)
-                generated |= step.run()
+                made = step.run()
+                if self.get_option("check_outputs"):
+                    self._check(step, made)
+                generated |= made
                 times.append(("execute", time.time() - began))
             if eager:
                 for k, d in generated.items():
                     generated[k] = d.with_(frame=d.frame.checkpoint())
         except StepError as e:
-            return SubmitResult(False, {}, [*log, e.entry], times)
+            return SubmitResult(False, {}, [*log, e.entry.located(source)], times, notices)
         except PySparkException as e:
-            return SubmitResult(False, {}, [*log, LogEntry("error", "RUNTIME_EXPRESSION_EVALUATION_ERROR", "execute", str(e)[:500])], times)
+            return SubmitResult(False, {}, [*log, LogEntry("error", "RUNTIME_EXPRESSION_EVALUATION_ERROR", "execute", str(e)[:500])], times, notices)
         for k, d in generated.items():
             self.datasets.items_[k] = d
-        return SubmitResult(True, {d.name: d.visible(False) for d in generated.values()}, log, times)
+        return SubmitResult(True, {d.name: d.visible(False) for d in generated.values()}, log, times, notices)
+
+    @staticmethod
+    def _check(step: Step, made: dict[str, Dataset]) -> None:
+        for d in made.values():
+            d.visible(False).write.format("noop").mode("overwrite").save()
+        if step.p.repeats is not None and not step.p.repeats().isEmpty():
+            step.log.append(LogEntry("warning", "RUNTIME_MERGE_REPEATED_BY_VALUES", "pre-evaluations", "BY values are repeated in more than one source of the merge", step.input.text))
 
     run = submit
 
@@ -258,6 +286,12 @@ class Session:
         return "".join(out)
 
 
+def _notices(blocks) -> list[Notice]:
+    """Rules on missing values that the program's literals rely on."""
+    literals = [e.value for b in blocks for s in walk(b.statements) for x in in_statement(s) for e in expressions(x) if isinstance(e, Literal)]
+    return [MISSING_NOTICE] * any(x is None for x in literals) + [EMPTY_NOTICE] * any(x == "" for x in literals if isinstance(x, str))
+
+
 class DatasetView:
     """One dataset of a session; helpers return the view of what they made."""
 

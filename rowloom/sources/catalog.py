@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, MutableMapping
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +49,8 @@ def reserved(name: str) -> bool:
     return key_of(name).startswith("DICTIONARY")
 
 
-def ingest(spark: SparkSession, data, name: str = "") -> Dataset:
-    """Spark, Arrow, pandas or polars frames, or a list of dicts, with the order of their rows."""
+def ingest(spark: SparkSession, data, name: str = "", order: list[str] | None = None) -> Dataset:
+    """Spark, Arrow, pandas or polars frames, or a list of dicts, with the order of their rows; ``order`` names columns that order a Spark frame."""
     if isinstance(data, Dataset):
         return data
     if not isinstance(data, DataFrame):
@@ -64,8 +66,24 @@ def ingest(spark: SparkSession, data, name: str = "") -> Dataset:
             frame = frame.withMetadata(c, {"label": text})
         return Dataset(frame, ("__o0",), memlabel, name)
     hidden = [c for c in data.columns if c.startswith(HIDDEN)]
-    frame = data.drop(*hidden).withColumn("__o0", F.monotonically_increasing_id())
-    return Dataset(frame, ("__o0",), None, name)
+    frame = data.drop(*hidden)
+    if order:
+        frame = frame.withColumns({f"__o{i}": F.col(f"`{c}`") for i, c in enumerate(order)})
+        return Dataset(frame, tuple(f"__o{i}" for i in range(len(order))), None, name)
+    return Dataset(frame.withColumn("__o0", _place(frame)), ("__o0",), None, name)
+
+
+# Logical operators after which rows lie in no order that another run of the plan must repeat.
+SHUFFLED = frozenset("Join Aggregate Distinct Intersect Except Window Repartition RepartitionByExpression RebalancePartitions".split())
+
+
+def _place(frame: DataFrame):
+    """A number that orders the rows: their place, where each run of the plan reads them alike (files, ranges, sorted results), else a hash of the row."""
+    nodes = re.findall(r"^[\s:+-]*(\w+)", frame._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    top = next((x for x in nodes if x in SHUFFLED or x == "Sort"), None)
+    if top in (None, "Sort") or not frame.columns:
+        return F.monotonically_increasing_id()
+    return F.xxhash64(*[F.col(f"`{c}`").cast("string") if frame.schema[c].dataType.typeName() == "map" else F.col(f"`{c}`") for c in frame.columns])
 
 
 def _narrow(table: pa.Table) -> pa.Table:
@@ -108,11 +126,13 @@ class Catalog(MutableMapping):
         return isinstance(name, str) and (key_of(name) in self.items_ or key_of(name) in ("DICTIONARY.TABLES", "DICTIONARY.COLUMNS"))
 
     def dictionary(self, which: str) -> Dataset:
-        """Metadata tables. Row counts run a count for each dataset, and only when ``tables`` is asked for."""
+        """Metadata tables. Row counts run one job, and only when ``tables`` is asked for."""
         rows: list[tuple] = []
         if which == "tables":
-            for k, d in self.items_.items():
-                rows.append(("WORK", k, "DATA", d.label or "", d.frame.count(), len(d.columns)))
+            counts = [d.frame.agg(F.count("*").alias("n")).withColumn("i", F.lit(i)) for i, d in enumerate(self.items_.values())]
+            found = {r["i"]: r["n"] for r in reduce(lambda a, b: a.union(b), counts).collect()} if counts else {}  # one job, a row a dataset
+            for i, (k, d) in enumerate(self.items_.items()):
+                rows.append(("WORK", k, "DATA", d.label or "", found[i], len(d.columns)))
             schema = "LIBNAME string, MEMNAME string, MEMTYPE string, MEMLABEL string, NOBS long, NVAR long, __o0 long"
         elif which == "columns":
             for k, d in self.items_.items():

@@ -196,3 +196,90 @@ def test_module_level_run_sees_the_callers_functions(spark):
     r = session.run("data out; set a; p = apply('local', id); q = apply('abs', -id); keep p q; run;", spark, a=table("id", (1,), (2,)))
     assert r, r.render()
     assert local and [tuple(x) for x in r.datasets["out"].collect()] == [(101.0, 1.0), (102.0, 2.0)]
+
+
+def test_filters_reach_the_scan(spark, s):
+    s.load("l", spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"))
+    for where, pushed in (("l_quantity > 25", "GreaterThan(l_quantity,25.0)"), ("l_quantity < 25", "LessThan(l_quantity,25.0)"), ("3 = l_linenumber", "EqualTo(l_linenumber,3)"), ("not (l_quantity >= 5) and l_returnflag > 'A'", "GreaterThan(l_returnflag,A)")):
+        for code in (f"data out; set l; where {where}; keep l_orderkey; run;", f"data out; set l; if {where}; keep l_orderkey; run;"):
+            assert s.submit(code)
+            plan = s.frame("out")._jdf.queryExecution().toString()
+            assert any("PushedFilters" in x and pushed[:20] in x for x in plan.split("\n")), (code, plan)
+
+
+def test_rounding_halves(s):
+    t = table("x", (0.49999999999999994,), (0.5,), (-0.5,), (2.5,), (-2.5,), (4503599627370497.0,), (1e300,))
+    want = [(0.0,), (1.0,), (-1.0,), (3.0,), (-3.0,), (4503599627370497.0,), (1e300,)]
+    assert ok(s, "data out; set t; y = round(x); keep y; run;", t=t) == want
+    assert ok(s, "data out; set t; b + x; if b < 0 then b = 0; y = round(x); keep y; run;", t=t) == want  # by the row loop
+
+
+def test_row_loop_by_group(s):
+    t = table("g x", (2, 1), (1, 5), (1, 6), (2, 9), (1, 7), (None, 3), (2, 2))
+    code = "data out; set t; by g; if first.g then do; b = 0; m = .; end; if x > 5 then m = x; b + x; if b > 10 then b = 0; retain m; run;"
+    want = [(1, 5, 5.0, None), (1, 6, 0.0, 6), (1, 7, 7.0, 7), (2, 1, 1.0, None), (2, 9, 10.0, 9), (2, 2, 0.0, 9), (None, 3, 3.0, None)]
+    assert [(r["g"], r["x"], r["b"], r["m"]) for r in (ok(s, code, t=t), s.to_pylist("out"))[1]] == want
+    plan = s.frame("out")._jdf.queryExecution().toString()
+    assert "RoundRobin" not in plan and "SinglePartition" not in plan and "hashpartitioning(g" in plan
+    assert ok(s, "data o2; set out; n = _n_; keep n; run;") is not None and [r["n"] for r in s.to_pylist("o2")] == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]
+    kept = ok(s, "data out; set t; by g; b + x; if first.g then b = 0; if b > 10 then b = 0; run;", t=t)  # set after its sum: one task, in order
+    assert [r[2] for r in kept] == [0.0, 6.0, 0.0, 0.0, 9.0, 0.0, 0.0]
+
+
+def test_lags_of_expressions(s):
+    t = table("x", (1,), (2,), (3,), (4,))
+    r = s.submit("data out; set t; if x > 1; a = x - lag(x * 10, 1, 0); run;", t=t)
+    assert r and not any(e.code == "RUNTIME_ROW_LOOP" for e in r.log) and rows(s) == [(2, 2.0), (3, -17.0), (4, -26.0)]
+    r = s.submit("data out; set t; if x > 2 then a = lag(x * 10); b = lag(x + 0, 2); run;", t=t)
+    assert r and any(e.code == "RUNTIME_ROW_LOOP" for e in r.log) and rows(s) == [(1, None, None), (2, None, None), (3, None, 1.0), (4, 30.0, 2.0)]
+    r = s.submit("data out; set t; a = lag(x * 1); b = lag(x * 2); run;", t=t)  # one queue a distance: the two share it
+    assert r and rows(s) == [(1, None, 1.0), (2, 2.0, 2.0), (3, 4.0, 3.0), (4, 6.0, 4.0)]
+
+
+def test_faults_in_rows_at_submit(s):
+    t = table("x", ("1",), ("no",))
+    code = "data one; set t; y = x; run;\ndata two; set one;\n  y = x + 1; run;"
+    assert s.submit(code, t=t) and "two" in s.datasets
+    s.unload("one", "two")
+    s.set_option("check_outputs", True)
+    r = s.submit(code, t=t)
+    assert not r and r.log[-1].code == "RUNTIME_EXPRESSION_EVALUATION_ERROR" and "one" not in s.datasets and "two" not in s.datasets
+
+
+def test_repeated_by_values_are_warned_of(s):
+    s.set_option("check_outputs", True)
+    a, b, c = table("k x", (1, 1), (1, 2)), table("k y", (1, 3), (1, 4)), table("k z", (1, 5), (2, 6))
+    r = s.submit("data out; merge a b; by k; run;", a=a, b=b)
+    assert r and [(e.level, e.code) for e in r.log] == [("warning", "RUNTIME_MERGE_REPEATED_BY_VALUES")] and rows(s) == [(1, 1, 3), (1, 2, 4)]
+    assert not s.submit("data out; merge a c; by k; run;", a=a, c=c).log
+
+
+def test_diagnostics_show_the_place(s, capsys):
+    r = s.submit("data out;\n  set a;\n  rename x=y\n    x=z;\nrun;", a=IN)
+    entry = r.log[-1]
+    assert (entry.span.line, entry.span.column, entry.span.end_line) == (3, 3, 4) and entry.labels[0].span == entry.span
+    text = r.render().split("\n")
+    assert text[0].startswith("ERROR [RUNTIME_RENAME_STATEMENT_INVALID]") and text[2] == "    3 |   rename x=y" and text[3] == "      |   ^^^^^^^^^^"
+    s.set_option("print_log", True)
+    s.submit("data out; set nowhere; run;")
+    assert "RUNTIME_SET_DATASET_NOT_FOUND" in capsys.readouterr().out
+    quiet = s.submit("data out; set a; y = .; z = ''; run;", a=IN, display_result=False)
+    assert repr(quiet) == "" and [n.id for n in quiet.notices] == ["COMPAT_MISSING_VALUE_SEMANTICS", "COMPAT_EMPTY_STRING_SEMANTICS"]
+
+
+def test_order_of_spark_frames(spark, s):
+    shuffled = spark.range(0, 500, 1, 5).selectExpr("id", "id % 7 as g").groupBy("g").count()
+    s.load("t", shuffled)
+    assert s.submit("data a; set t; n = _n_; run; data b; set t; n = _n_; run;")
+    assert s.to_pylist("a") == s.to_pylist("b")
+    s.load("k", spark.range(0, 50, 1, 5).selectExpr("50 - id as id"), order="id")
+    assert s.submit("data c; set k; n = _n_; run;") and [r["id"] for r in s.to_pylist("c")] == list(range(1, 51))
+    s.load("z", spark.range(20).selectExpr("id", "id % 3 as g").orderBy("g", "id"))
+    assert [r["g"] for r in s.to_pylist("z")] == [0] * 7 + [1] * 7 + [2] * 6
+
+
+def test_apply_finds_the_type(s):
+    def shout(x):
+        return x.upper()
+
+    assert s.submit("data out; set t; y = apply('shout', x); run;", t=table("x", ("a",), ("b",))) and rows(s) == [("a", "A"), ("b", "B")]
