@@ -107,16 +107,20 @@ class _Memo(dict):
 class ByteBPE:
     """Ids of whole texts by the tokenizers library, each distinct piece encoded once and remembered.
 
-    The vocabulary merges within pieces of its pre-tokenizer only, so a text's ids are its pieces' ids in order. Texts
-    with other than common Latin characters, or with a special token's string, go to the library whole.
+    The vocabulary merges within pieces of its pre-tokenizer only, so a text's ids are its pieces' ids in order. Texts of
+    common Latin characters are split by a pattern of fixed classes, others by the vocabulary's own with Unicode's
+    classes; texts with a special token's string go to the library whole.
     """
 
     KEEP = 300_000  # pieces after which a generation becomes the old one, checked text by text
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
+        self.any_pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # The vocabulary's alphabet writes each byte as one visible character: printable Latin-1 stands for itself,
@@ -138,9 +142,9 @@ class ByteBPE:
         return [self._text(t) for t in texts]
 
     def _text(self, text: str) -> bytes:
-        if UNUSUAL(text) or any(x in text for x in self.special):
+        if any(x in text for x in self.special):
             return self._whole(text)
-        out = b"".join(map(self.memo.__getitem__, PIECES(text)))
+        out = b"".join(map(self.memo.__getitem__, self.any_pieces(text) if UNUSUAL(text) else PIECES(text)))
         if len(self.memo) > self.KEEP:
             self.memo = _Memo(self._piece, dict(self.memo))
         return out

@@ -47,6 +47,21 @@ def test_any_text_matches_the_library(text):
     assert np.frombuffer(BPE.encode([text])[0], "<u4").tolist() == BPE.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_every_character_is_split_as_the_library_does():
+    bpe = tokens.ByteBPE(VOCABULARY)
+    codes = [c for c in [*range(0x3100), *range(0x3100, 0x110000, 11)] if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(codes), 10_000):
+        texts = [f"x{chr(c)}1 {chr(c)}{chr(c)}a 2{chr(c)} " for c in codes[at : at + 10_000]]
+        want = [np.array(e.ids, "<u4").tobytes() for e in bpe.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert bpe.encode(texts) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_any_unicode_text_matches_the_library(text):
+    assert np.frombuffer(BPE.encode([text])[0], "<u4").tolist() == BPE.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_generations_forget_nothing_wrong():
     bpe = tokens.ByteBPE(VOCABULARY)
     bpe.KEEP = 3
