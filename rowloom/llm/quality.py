@@ -56,10 +56,10 @@ KEEP_WORDS = 400_000  # words whose pieces a worker remembers
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_per_token double, byte_share double, token_bits double, chars_per_token_bpe double, script long"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_SCRIPT = np.zeros((len(LEADS), 256), bool)
+_SCRIPT = np.full(256, len(LEADS), np.int64)
 for _i, _ranges_of in enumerate(LEADS.values()):
     for _a, _b in _ranges_of:
-        _SCRIPT[_i, _a:_b] = True
+        _SCRIPT[_a:_b] = _i
 
 
 class Vocabularies:
@@ -115,6 +115,16 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def _scripts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each text the script (a place in ``LEADS``) with most letters."""
+    n, kinds = len(offsets) - 1, len(LEADS) + 1
+    wide = np.flatnonzero(data >= 0xC0)  # few bytes of most texts
+    owner = np.searchsorted(offsets, wide, "right") - 1
+    letters = np.bincount(owner * kinds + _SCRIPT[data[wide]], minlength=n * kinds).reshape(n, kinds)
+    letters[:, 0] += _sums((data | 32) - np.uint8(97) < 26, offsets)  # a to z; no other byte comes to these values
+    return letters[:, : len(LEADS)].argmax(1)
+
+
 def measure(data: np.ndarray, offsets: np.ndarray, vocabularies: Vocabularies | None) -> dict[str, np.ndarray]:
     words = Words(data, offsets)
     n = words.count
@@ -140,7 +150,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, vocabularies: Vocabularies |
     out |= {"chars_per_token": zero, "byte_share": zero, "token_bits": zero, "chars_per_token_bpe": zero, "script": zero}
     if vocabularies is None or not len(owner):
         return out
-    out["script"] = np.stack([_sums(x[data], offsets) for x in _SCRIPT]).argmax(0)
+    out["script"] = _scripts(data, offsets)
     distinct, seen, which = np.unique(words.hash, return_index=True, return_inverse=True)
     text_of = lambda i: raw[words.start[seen[i]] : words.end[seen[i]]].decode()
     place = vocabularies.look_up(distinct, text_of)[which]
