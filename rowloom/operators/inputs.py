@@ -201,6 +201,10 @@ def merge_by(statement: Statement, sources, by: list[str]) -> Prepared:
                 if c.upper() in seen:
                     raise StepError("RUNTIME_MERGE_DUPLICATE_COLUMN", f"{c} is in two sources", "pre-evaluations", statement.text)
                 seen[c.upper()] = c
+    repeats = lambda: repeated_by_values([d.frame.select(*[quoted(resolve(k, d.columns)).alias(k) for k in keys]) for _, d in sources], keys)
+    one = unique_side([d for _, d in sources], keys) if len(sources) == 2 else None
+    if one is not None:
+        return merge_to_unique(sources, keys, one, repeats)
     n = len(keys)
     parts, hidden, names = [], {}, list(keys)
     for i, (ref, d) in enumerate(sources):
@@ -228,10 +232,39 @@ def merge_by(statement: Statement, sources, by: list[str]) -> Prepared:
         match = reduce(lambda a, b: a & b, [F.col(f"__k{j}").eqNullSafe(F.col(f"__k{i}_{j}")) for j in range(n)]) & (F.col(f"__at{i}") == F.col(f"__rn{i}"))
         out = out.join(p, match, "left").withColumn(f"__in{i}", F.col(f"__n{i}").isNotNull().cast("int"))
     frame = out.select(*[F.col(f"__k{j}").alias(k) for j, k in enumerate(keys)], *[quoted(c) for c in names[n:]], *[f"__in{i}" for i in range(len(sources))], "__slot")
-    repeats = lambda: repeated_by_values([d.frame.select(*[quoted(resolve(k, d.columns)).alias(k) for k in keys]) for _, d in sources], keys)
     return Prepared(frame, names, [*keys, "__slot"], hidden, keys, repeats)
 
 
+def unique_side(sources: list[Dataset], keys: list[str]) -> int | None:
+    """Which of two sources has no repeated key. One job over the smaller source's keys tells, and if that has, nothing more is asked."""
+    small = min(range(2), key=lambda i: whole_order.source_bytes(sources[i].frame))
+    d = sources[small]
+    own = [quoted(resolve(k, d.columns)) for k in keys]
+    return small if d.frame.groupBy(*own).count().where("count > 1").limit(1).isEmpty() else None
+
+
+def merge_to_unique(sources, keys: list[str], one: int, repeats: Callable[[], DataFrame]) -> Prepared:
+    """The merge of two sources where ``one`` has each key once: a plain outer join, in the other's order within a key.
+
+    Filters on the IN= flags turn it into an inner, left or right join.
+    """
+    sides, names, hidden = [], list(keys), {}
+    for i, (ref, d) in enumerate(sources):
+        own = [resolve(k, d.columns) for k in keys]
+        rest = [c for c in d.columns if c not in own]
+        names += rest
+        place = [quoted(c).alias(f"__m{j}") for j, c in enumerate(d.order)] if i != one else []
+        sides.append(d.frame.select(*[quoted(k).alias(f"__k{i}_{j}") for j, k in enumerate(own)], *[quoted(c) for c in rest], F.lit(1).alias(f"__is{i}"), *place))
+        if "in" in ref.options:
+            hidden[ref.options["in"].upper()] = f"__in{i}"
+    match = reduce(lambda a, b: a & b, [F.col(f"__k0_{j}").eqNullSafe(F.col(f"__k1_{j}")) for j in range(len(keys))])
+    out = sides[0].join(sides[1], match, "full_outer")
+    order = [f"__m{j}" for j in range(len(sources[1 - one][1].order))]
+    flags_ = [F.coalesce(f"__is{i}", F.lit(0)).alias(f"__in{i}") for i in range(2)]
+    frame = out.select(*[F.coalesce(f"__k0_{j}", f"__k1_{j}").alias(k) for j, k in enumerate(keys)], *[quoted(c) for c in names[len(keys) :]], *flags_, *order)
+    return Prepared(frame, names, [*keys, *order], hidden, keys, repeats)
+
+
 def repeated_by_values(sources: list[DataFrame], keys: list[str]) -> DataFrame:
     """Keys that are repeated in two sources or more (the warning about them costs a job, so it is made with ``check_outputs`` only)."""
     each = [s.groupBy(*keys).count().where("count > 1").select(*keys) for s in sources]

@@ -283,3 +283,17 @@ def test_apply_finds_the_type(s):
         return x.upper()
 
     assert s.submit("data out; set t; y = apply('shout', x); run;", t=table("x", ("a",), ("b",))) and rows(s) == [("a", "A"), ("b", "B")]
+
+
+def test_merge_with_a_unique_side_is_one_join(spark, s):
+    a, b = table("k x", (1, 10), (None, 30), (2, 20)), table("k y", (2, 200), (1, 101), (2, 201), (3, 300), (None, 400), (2, 202))
+    want = [(1, 10, 101, 1, 1), (2, 20, 200, 1, 1), (2, 20, 201, 1, 1), (2, 20, 202, 1, 1), (3, None, 300, 0, 1), (None, 30, 400, 1, 1)]
+    assert ok(s, "data out; merge a(in=p) b(in=q); by k; i = p; j = q; run;", a=a, b=b) == want
+    assert ok(s, "data out; merge b(in=q) a(in=p); by k; i = p; j = q; run;", a=a, b=b) == [(k, y, x, i, j) for k, x, y, i, j in want]
+    assert ok(s, "data out; merge a(in=p) b(in=q); by k; if not p; n = _n_; f = first.k; run;", a=a, b=b) == [(3, None, 300, 5.0, True)]
+    s.load("c", spark.read.parquet("/root/testdata/sf0.001/customer.parquet"))
+    s.load("o", spark.read.parquet("/root/testdata/sf0.001/orders.parquet"))
+    for test, kind in (("a and b", "Inner"), ("a", "LeftOuter"), ("b and not a", "RightOuter")):
+        assert s.submit(f"data out; merge o(in=a keep=o_custkey o_orderkey rename=(o_custkey=k)) c(in=b keep=c_custkey c_name rename=(c_custkey=k)); by k; if {test}; run;")
+        plan = s.frame("out")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == 1 and f"Join {kind}" in plan, plan
