@@ -150,6 +150,17 @@ class ByteBPE:
         return out
 
 
+_held: dict[str, ByteBPE] = {}
+
+
+def encoder(path: str) -> ByteBPE:
+    """The worker process's encoder, which later tasks of it find with its pieces remembered (bounded as above)."""
+    if path not in _held:
+        _held.clear()
+        _held[path] = ByteBPE(path)
+    return _held[path]
+
+
 def token_table(docs: DataFrame, vocabulary: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", planes: str = "byte", order: str = "doc_id") -> DataFrame:
     """The token table of ``docs`` (columns as above), not yet written. ``vocabulary`` is a path every executor has."""
     if order not in ("doc_id", "given"):
@@ -161,7 +172,7 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int = END_ID, doc_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, bpe, end = TaskContext.get().partitionId(), ByteBPE(vocabulary), struct.pack("<I", end_id)
+        part, bpe, end = TaskContext.get().partitionId(), encoder(vocabulary), struct.pack("<I", end_id)
         chunk, first, held, listed, size = 0, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
