@@ -142,7 +142,9 @@ def run_loop(step) -> dict[str, Dataset]:
         schema = schema.add(f"v{i}", kind)
     schema_json = schema.json()
     program = Program(step.block.statements, step.arrays, [k for k, _ in names], [n.upper() for n in step.retained], step.initial if step.options.retain_initial else {}, set(step.source), step.formats, {k: f for k, f in step.functions.items() if k in called}, step.explicit, step.default, list(step.refs), None if stateless or step.where is None else step.where.data["expr"], frame.sparkSession.conf.get("spark.sql.session.timeZone"))
-    layout = {"source": [(c.upper(), inner[c]) for c in source], "hidden": list(hidden), "n": "_N_" in step.wanted, "offsets": offsets}
+    # The variables that a task's columns are, in their order: source columns, hidden ones, lags, and the order's keys.
+    keys = [c.upper() for c in source] + list(hidden) + (["_N_"] if "_N_" in step.wanted else []) + [tuple(o) for o in offsets] + [f"s{i}" for i in range(len(order))]
+    by = step.by_column().upper() if grouped else None
     for s in walk(step.block.statements):
         for t in s.data.get("targets", ()) if s.kind == "output" else ():
             if key_of(t) not in step.refs:
@@ -155,20 +157,18 @@ def run_loop(step) -> dict[str, Dataset]:
         state = program.start()
         number, group = 0, NotImplemented
         for batch in batches:
-            rows = batch.to_pylist()
-            out: list[dict] = []
-            for r in rows:
-                if grouped and r[grouped] != group:
-                    group, state = r[grouped], program.start()
-                values = {k: r[c] for k, c in layout["source"]}
-                extra = {n: r[f"h{i}"] for i, n in enumerate(layout["hidden"])} | ({"_N_": r["n"]} if layout["n"] else {})
-                moved = {tuple(o): r[f"l{i}"] for i, o in enumerate(layout["offsets"])}
-                for target, snapshot in program.row(state, values, extra, moved):
-                    out.append({"t": target, "__o0": number} | {f"__{c}": r[c] for c in places} | {f"v{i}": snapshot.get(k) for i, k in enumerate(program.names)})
+            outs: list[tuple] = []
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                v = dict(zip(keys, r, strict=True))
+                if grouped and v[by] != group:
+                    group, state = v[by], program.start()
+                for target, after in program.row(state, v):
+                    outs.append((target, number, *(v[c] for c in places), *map(after.get, program.names)))
                     number += 1
                 if state.stopped:
                     break
-            yield pa.RecordBatch.from_pylist([{f.name: program.fit(x[f.name], f.type) for f in wanted} for x in out], schema=wanted)
+            columns = list(zip(*outs, strict=True)) if outs else [()] * len(wanted)
+            yield pa.RecordBatch.from_arrays([pa.array([program.fit(x, f.type) for x in c], f.type) for c, f in zip(columns, wanted, strict=True)], schema=wanted)
             if state.stopped:
                 return
 
