@@ -105,6 +105,17 @@ class Vocabularies:
         return np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
 
 
+_held: dict[tuple[str, str], Vocabularies] = {}
+
+
+def vocabularies_of(piece_model: str, bpe_ranks: str) -> Vocabularies:
+    """The worker process's vocabularies, which later tasks of it find with their words remembered (bounded as above)."""
+    if (piece_model, bpe_ranks) not in _held:
+        _held.clear()
+        _held[piece_model, bpe_ranks] = Vocabularies(piece_model, bpe_ranks)
+    return _held[piece_model, bpe_ranks]
+
+
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values)])
     return total[first[1:]] - total[first[:-1]]
@@ -180,7 +191,7 @@ def measures(docs: DataFrame, keep: list[str], piece_model: str, bpe_ranks: str,
     names = [f.name for f in extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabularies = Vocabularies(piece_model, bpe_ranks)
+        vocabularies = vocabularies_of(piece_model, bpe_ranks)
         for rows, data, offsets in slices(batches, text):
             m = measure(data, offsets, vocabularies)
             values = [pa.array(m[x.split()[0]].astype(float if "double" in x else np.int64)) for x in MEASURES.split(", ")]
