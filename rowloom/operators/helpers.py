@@ -138,6 +138,14 @@ def cast(data: Dataset, kinds: dict[str, str]) -> Dataset:
     return data.with_(frame=data.frame.withColumns(changes))
 
 
+MOST_COLUMNS = 10_000
+
+
+def _bounded(columns: int) -> None:
+    if columns > MOST_COLUMNS:
+        raise ValueError(f"transpose would make more than {MOST_COLUMNS} columns")
+
+
 def transpose(data: Dataset, by, var, id=None) -> Dataset:  # noqa: A002
     """Groups in first-seen order. Without ``id``: a row a variable, its values in COL1, COL2 and so on. With ``id``: a row a group, a column an id."""
     keys, variables = [pick(data, c) for c in _listed(by)], [pick(data, c) for c in _listed(var)]
@@ -147,6 +155,7 @@ def transpose(data: Dataset, by, var, id=None) -> Dataset:  # noqa: A002
     if id is None:
         ranked = frame.withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy(*ascending(order))))
         widest = ranked.agg(F.max("__rn")).first()[0] or 0  # the number of columns: one value
+        _bounded(widest)
         unit = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("name"), quoted(v).alias("value")) for i, v in enumerate(variables)])).alias("__u")
         long = ranked.select(*group, F.struct(*[F.col(o) for o in order]).alias("__at"), "__rn", unit)
         values = [F.max(F.when(F.col("__rn") == i + 1, F.struct(F.col("__u.value").alias("v"))))["v"].alias(f"COL{i + 1}") for i in range(widest)]
@@ -161,7 +170,8 @@ def transpose(data: Dataset, by, var, id=None) -> Dataset:  # noqa: A002
     bad = frame.groupBy(*group, name.alias("__id")).count().where((F.col("count") > 1) | F.col("__id").isNull() | (F.col("__id").cast("string") == "")).limit(1).collect()
     if bad:
         raise ValueError("an id is missing or repeated in a group")
-    found = frame.groupBy(name.cast("string").alias("id")).agg(seen).collect()  # one value a new column
+    found = frame.groupBy(name.cast("string").alias("id")).agg(seen).limit(MOST_COLUMNS + 1).collect()  # one value a new column
+    _bounded(len(found))
     columns = [r["id"] for r in sorted(found, key=lambda r: tuple(r["__seen"]))]
     cells = [F.max(F.when(name.cast("string") == c, F.struct(value.alias("v"))))["v"].alias(c) for c in columns]
     return data.with_(frame=frame.groupBy(*group).agg(*cells, seen.alias("__o0")), order=("__o0",))

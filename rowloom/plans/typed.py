@@ -141,9 +141,9 @@ def applied(e: Call, scope: Scope) -> Value:
             target = getattr(importlib.import_module(module), attribute)
         except (ImportError, AttributeError):
             target = None
-    kind = None
-    if isinstance(target, tuple):
-        target, kind = target
+    kind, vector = None, False
+    if isinstance(target, tuple):  # callable and type, and whether it takes and gives whole pandas series
+        target, kind, vector = (*target, False)[:3]
     if not callable(target):
         raise V.StepError("RUNTIME_APPLY_TARGET_UNRESOLVED", f"no function {name}", "execute")
     if kind is None:
@@ -156,6 +156,8 @@ def applied(e: Call, scope: Scope) -> Value:
     import pandas as pd
 
     def run(*series):
+        if vector:
+            return pd.Series(target(*series))
         rows = zip(*[[None if pd.isna(x) else x for x in s] for s in series], strict=True)
         back = [target(*r) for r in rows]
         return pd.Series([None if x is None else {"str": str, "bool": bool, "num": float}[out](x) for x in back], dtype="object")

@@ -8,6 +8,7 @@ import time
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,7 +79,12 @@ class Session:
         return self.datasets[name].visible(ordered)
 
     def to_arrow(self, name: str):
-        return self.frame(name, True).toArrow()
+        """The rows in order; columns carry their metadata (labels among it), the table its label."""
+        data = self.datasets[name]
+        frame = data.visible(True)
+        table = frame.toArrow()
+        fields = [f.with_metadata({k: str(x) for k, x in frame.schema[f.name].metadata.items()}) if frame.schema[f.name].metadata else f for f in table.schema]
+        return table.cast(pa.schema(fields, {"memlabel": data.label} if data.label else None)) if fields else table
 
     def to_pandas(self, name: str):
         return self.to_arrow(name).to_pandas()

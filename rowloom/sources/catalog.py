@@ -58,12 +58,12 @@ def ingest(spark: SparkSession, data, name: str = "", order: list[str] | None =
             data = pa.Table.from_pylist(data)
         elif not isinstance(data, pa.Table):
             data = data.to_arrow() if hasattr(data, "to_arrow") else pa.Table.from_pandas(data, preserve_index=False)
-        labels = {f.name: f.metadata[b"label"].decode() for f in data.schema if f.metadata and b"label" in f.metadata}
+        notes = {f.name: {k.decode(): x.decode("utf-8", "replace") for k, x in f.metadata.items() if not k.startswith(b"PARQUET:")} for f in data.schema if f.metadata}
         memlabel = (data.schema.metadata or {}).get(b"memlabel", b"").decode() or None
         data = data.append_column("__o0", pa.array(range(data.num_rows), pa.int64()))
         frame = spark.createDataFrame(_narrow(data))
-        for c, text in labels.items():
-            frame = frame.withMetadata(c, {"label": text})
+        for c, known in notes.items():
+            frame = frame.withMetadata(c, known)
         return Dataset(frame, ("__o0",), memlabel, name)
     hidden = [c for c in data.columns if c.startswith(HIDDEN)]
     frame = data.drop(*hidden)

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import pyarrow as pa
 import pytest
 
 from rowloom.session import Session
@@ -297,3 +298,29 @@ def test_merge_with_a_unique_side_is_one_join(spark, s):
         assert s.submit(f"data out; merge o(in=a keep=o_custkey o_orderkey rename=(o_custkey=k)) c(in=b keep=c_custkey c_name rename=(c_custkey=k)); by k; if {test}; run;")
         plan = s.frame("out")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join ") == 1 and f"Join {kind}" in plan, plan
+
+
+def test_metadata_survives(s):
+    fields = [pa.field("k", pa.int64(), metadata={"label": "Key", "unit": "piece"}), pa.field("x", pa.float64())]
+    s.load("a", pa.table({"k": [2, 1], "x": [1.0, None]}, schema=pa.schema(fields, {"memlabel": "All"})))
+    assert s.submit("data b(label='Two'); set a(rename=(k=key)); y = x; label x='Measure'; run;")
+    s.sort("b", "key", out="c")
+    s.select("c", "key x", out="d")
+    t = s.to_arrow("d")
+    assert t.field("key").metadata == {b"label": b"Key", b"unit": b"piece"} and t.field("x").metadata == {b"label": b"Measure"} and t.to_pydict() == {"key": [1, 2], "x": [None, 1.0]}
+    assert s.to_arrow("b").schema.metadata[b"memlabel"] == b"Two" and s.to_arrow("a").schema.metadata[b"memlabel"] == b"All"
+
+
+def test_transpose_refuses_too_many_columns(s, monkeypatch):
+    from rowloom.operators import helpers
+
+    monkeypatch.setattr(helpers, "MOST_COLUMNS", 2)
+    s.load("t", table("g n v", (1, "a", 1), (1, "b", 2), (1, "c", 3)))
+    for kwargs in ({"id": "n"}, {}):
+        with pytest.raises(ValueError, match="columns"):
+            s.transpose("t", "g", "v", **kwargs)
+
+
+def test_apply_of_whole_series(s):
+    assert s.submit("data out; set t; y = apply('f', x, z); run;", t=table("x z", (1.0, 2.0), (3.0, None)), functions={"f": (lambda a, b: a + b.fillna(0), "double", True)})
+    assert rows(s) == [(1.0, 2.0, 3.0), (3.0, None, 3.0)]
