@@ -71,6 +71,7 @@ _PATH = "coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
 _RULES = ", ".join(f"('{r}', '{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}')" for r, v in URL_RULES)
 _UNIFORM = "(('0x' || substr(md5({}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)"
 
+_DRAW = "(64 / 3.0::DOUBLE)"  # the highest rate of one draw
 ORACLE_SQL = {
     "op2_url_filter": f"""
         WITH rules(rule, h, p, verdict) AS (VALUES {_RULES}),
@@ -82,13 +83,17 @@ ORACLE_SQL = {
     "op8_mix_sources": f"""
         WITH RECURSIVE sizes AS (SELECT source AS s, count(*) AS n FROM documents GROUP BY source),
         rates AS (SELECT s, (SELECT sum(n) FROM sizes)::DOUBLE * 1.0 / (SELECT count(*) FROM sizes)::DOUBLE / n AS rate FROM sizes),
-        steps(s, rate, k, p, c) AS (
-            SELECT s, rate, 0, exp(-rate), exp(-rate) FROM rates
-            UNION ALL SELECT s, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM steps WHERE k < 64),
+        pieces AS (SELECT s, rate, i, least(greatest(rate - i * {_DRAW}, 0.0), {_DRAW}) AS r FROM (SELECT s, rate, unnest(range(0, greatest(1, ceil(rate / {_DRAW}))::BIGINT)) AS i FROM rates)),
+        steps(s, i, r, k, p, c) AS (
+            SELECT s, i, r, 0, exp(-r), exp(-r) FROM pieces
+            UNION ALL SELECT s, i, r, k + 1, p * r / (k + 1), c + p * r / (k + 1) FROM steps WHERE k < 80),
+        draws AS (
+            SELECT d.doc_id, d.source, d.text, d.lang, d.n_chars, p.rate, p.i,
+                   CASE WHEN p.i = 0 THEN {_UNIFORM.format("'42:' || d.doc_id")} ELSE {_UNIFORM.format("'42:' || d.doc_id || ':draw:' || p.i")} END AS u
+            FROM documents d JOIN pieces p ON d.source IS NOT DISTINCT FROM p.s),
         counts AS (
-            SELECT d.doc_id, d.source, d.lang, d.n_chars, d.text, r.rate,
-                   (SELECT min(k) FROM steps t WHERE t.s IS NOT DISTINCT FROM d.source AND {_UNIFORM.format("'42:' || d.doc_id")} < t.c) AS k
-            FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.s),
-        copies AS (SELECT *, unnest(range(1, k + 1))::INTEGER AS copy FROM counts WHERE k > 0)
+            SELECT doc_id, source, lang, n_chars, text, rate, sum((SELECT min(k) FROM steps t WHERE t.s IS NOT DISTINCT FROM draws.source AND t.i = draws.i AND u < t.c)) AS k
+            FROM draws GROUP BY ALL),
+        copies AS (SELECT *, unnest(range(1, k::BIGINT + 1))::INTEGER AS copy FROM (SELECT doc_id, source, lang, n_chars, text, rate, sum(k) AS k FROM counts GROUP BY ALL) WHERE k > 0)
         SELECT doc_id, source, lang, n_chars, copy, rate, {_UNIFORM.format("'42:' || doc_id || ':' || copy")} AS shuffle_key, text FROM copies""",
 }

@@ -90,3 +90,15 @@ def test_high_rates_are_poisson_and_keep_copies(spark):
         mean = sum(got.values()) / 600
         assert abs(mean - rate) < 5 * math.sqrt(rate / 600) and 0.7 < sum((k - mean) ** 2 for k in got.values()) / 600 / rate < 1.3
         before = got
+
+
+def test_sql_of_the_query_holds_for_high_rates_too(spark, tmp_path):
+    rows = [(i, f"text {i}", "en", None if i == 7 else "rare" if i < 3 else "usual", 6) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "source", "copy", "rate", "shuffle_key", "text"]
+    want = db.sql(queries.ORACLE_SQL["op8_mix_sources"]).select(", ".join(columns)).fetchall()
+    got = queries.op8_mix_sources(spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and max(r["rate"] for r in got) > 90
