@@ -471,7 +471,7 @@ def shape(step: Step, key: str, data: Dataset) -> Dataset:
     keeps = [n for s in every if s.kind == "keep" for n in s.data["names"]]
     drops = [n for s in every if s.kind == "drop" for n in s.data["names"]]
     renames = {a: b for s in every if s.kind == "rename" for a, b in s.data["pairs"].items()}
-    secret = {h.upper() for h in step.p.hidden} | {"_N_", "_ERROR_"}
+    secret = {h.upper() for h in step.p.hidden} | {"_N_", "_ERROR_"} | {f"{side}.{k.upper()}" for k in step.by for side in ("FIRST", "LAST")}
     kept = {need(n, columns) for n in keeps if n.upper() not in secret}
     if keeps:
         columns = [c for c in columns if c in kept]
