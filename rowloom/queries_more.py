@@ -119,7 +119,7 @@ def coded_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         s.loads({"a": GOOD, "s": TEXT_KEY, "d": SAME_COLUMN, "f": FLAGGED, "n": NESTED})
         r = s.submit(code)
         rows.append((case, "OK" if r else [e.code for e in r.log if e.level == "error"][-1], "o" in s.datasets))
-    return spark.createDataFrame(rows, "case string, code string, published boolean")
+    return spark.createDataFrame(rows, "program string, code string, published boolean")
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -169,7 +169,7 @@ def session_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     out.append(("a parse error stops all", f"{bool(r)},{'first' in s.datasets}"))
     s.set_option("anything", 5)
     out.append(("options", str(s.get_option("anything"))))
-    return spark.createDataFrame(out, "call string, gave string")
+    return spark.createDataFrame(out, "method string, gave string")
 
 
 _SESSION_ROWS = [
@@ -251,15 +251,15 @@ ALL: dict[str, tuple[Query, str | None]] = {
         session(lambda s: (s.sql("drop table nation"), s.sql("drop table if exists nothing"), s.sql("create table out as select memname from dictionary.columns where varnum = 1")), "nation", "region", "supplier"),
         "SELECT * FROM (VALUES ('REGION'), ('SUPPLIER')) t(memname)",
     ),
-    "session_methods": (session_methods, _values(_SESSION_ROWS, "call, gave")),
-    "coded_errors": (coded_errors, _values([(k, c, c == "OK") for k, (_, c) in REFUSED.items()], "case_, code, published").replace("SELECT *", 'SELECT case_ AS "case", code, published')),
+    "session_methods": (session_methods, _values(_SESSION_ROWS, "method, gave")),
+    "coded_errors": (coded_errors, _values([(k, c, c == "OK") for k, (_, c) in REFUSED.items()], "program, code, published")),
     "formats_more": (
         program("data out; set events; a = put(value, 10.1); b = put(ts, e8601da.); c = put(ts, e8601dt.); d = put(ts, time.); e = put(event_type, $kind.); f = put(user_id, band.); g = put(value, best.); h = put(-event_id, z9.2); i = put(event_id * 1.5, comma12.2); j = put(ts, yymmdd6.); keep event_id a b c d e f g h i j; run;", "events", setup=lambda s: (s.register_format("$kind.", {"click": "C", "error": "E"}), s.register_format("band.", {1: "one", 2: "two"}))),
         "SELECT event_id, format('{:.1f}', value) AS a, strftime(ts, '%Y-%m-%d') AS b, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS c, strftime(ts, '%H:%M:%S') AS d, CASE event_type WHEN 'click' THEN 'C' WHEN 'error' THEN 'E' ELSE event_type END AS e, CASE user_id WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE user_id::VARCHAR END AS f, CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END AS g, CASE WHEN event_id = 0 THEN '000000.00' ELSE '-' || lpad(format('{:.2f}', event_id::DOUBLE), 8, '0') END AS h, format('{:,.2f}', event_id * 1.5::DOUBLE) AS i, strftime(ts, '%y%m%d') AS j FROM events",
     ),
     "informats_more": (
-        program("data out; set events; a = input(put(ts, e8601dt.), e8601dt.); b = input(put(ts, e8601da.), e8601da.); c = input(put(ts, yymmdd6.), yymmdd6.); d = input('  ', best.); e = missing(d); f = input(event_type, code.); g = round(hour('10:30') + hour(input('01:15:36', time.)), 0.01); h = input(cat(' ', event_id), 8.); keep event_id a b c e f g h; run;", "events", setup=lambda s: s.register_informat("code.", {"click": 7, "view": 8})),
-        "SELECT event_id, date_trunc('second', ts) AS a, ts::DATE AS b, ts::DATE AS c, true AS e, CASE event_type WHEN 'click' THEN 7 WHEN 'view' THEN 8 END::DOUBLE AS f, 11.76::DOUBLE AS g, event_id::DOUBLE AS h FROM events",
+        program("data out; set events; a = put(input(put(ts, e8601dt.), e8601dt.), e8601dt.); b = input(put(ts, e8601da.), e8601da.); c = input(put(ts, yymmdd6.), yymmdd6.); d = input('  ', best.); e = missing(d); f = input(event_type, code.); g = round(hour('10:30') + hour(input('01:15:36', time.)), 0.01); h = input(cat(' ', event_id), 8.); keep event_id a b c e f g h; run;", "events", setup=lambda s: s.register_informat("code.", {"click": 7, "view": 8})),
+        "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS a, ts::DATE AS b, ts::DATE AS c, true AS e, CASE event_type WHEN 'click' THEN 7 WHEN 'view' THEN 8 END::DOUBLE AS f, 11.76::DOUBLE AS g, event_id::DOUBLE AS h FROM events",
     ),
     "hour_function": (program("data out; set events; h = round(hour(ts), 0.001); keep event_id h; run;", "events"), "SELECT event_id, round(floor((hour(ts) + minute(ts) / 60.0::DOUBLE + floor(second(ts)) / 3600.0::DOUBLE) / 0.001::DOUBLE + 0.5) * 0.001::DOUBLE, 3) AS h FROM events"),
     "lag_of_step_variable": (program("data out; set events; y = value * 2; m = missing(lag(y)); z = lag(y, 1, 5); keep event_id m z; run;", "events", sort={"events": "event_id"}), "SELECT event_id, true AS m, 5::BIGINT AS z FROM events"),
