@@ -98,7 +98,9 @@ def put(v: Value, form: str, catalog: Catalog) -> Value:
 
 
 def _clock(v: Value) -> Column:
-    """Time of day as a timestamp; text ``HH:MM[:SS]`` on an arbitrary day."""
+    """Time of day as a timestamp; times, and text ``HH:MM[:SS]``, on an arbitrary day."""
+    if v.type == "time":
+        v = Value(F.substring(v.col.cast("string"), 1, 8), "str")
     if v.type == "str":
         full = F.when(v.col.rlike(r"^\d{1,2}:\d{2}$"), F.concat(v.col, F.lit(":00"))).otherwise(v.col)
         return F.to_timestamp(F.concat(F.lit("1970-01-01 "), F.lpad(full, 8, "0")), "yyyy-MM-dd HH:mm:ss")

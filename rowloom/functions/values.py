@@ -14,14 +14,14 @@ from ..diagnostics import StepError
 EPSILON = 2.220446049250313e-16
 NAN, INF = float("nan"), float("inf")
 NUMERIC = ("int", "num", "bool", "null")
-SPARK_TYPE = {"int": "bigint", "num": "double", "bool": "boolean", "str": "string", "date": "date", "ts": "timestamp", "null": "void"}
+SPARK_TYPE = {"int": "bigint", "num": "double", "bool": "boolean", "str": "string", "date": "date", "ts": "timestamp", "time": "time(6)", "null": "void"}
 _SPACE = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @dataclass(frozen=True)
 class Value:
     col: Column
-    type: str  # null int num bool str date ts other
+    type: str  # null int num bool str date ts time other
     literal: object = None
     is_literal: bool = False
     sure: bool = False  # a boolean that is never missing
@@ -32,7 +32,7 @@ def type_of(kind: T.DataType) -> str:
         return "int"
     if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
         return "num"
-    for base, name in ((T.BooleanType, "bool"), (T.StringType, "str"), (T.DateType, "date"), (T.TimestampType, "ts"), (T.TimestampNTZType, "ts"), (T.NullType, "null")):
+    for base, name in ((T.BooleanType, "bool"), (T.StringType, "str"), (T.DateType, "date"), (T.TimestampType, "ts"), (T.TimestampNTZType, "ts"), (T.TimeType, "time"), (T.NullType, "null")):
         if isinstance(kind, base):
             return name
     return "other"
@@ -77,8 +77,8 @@ def number(v: Value) -> Column:
     if v.type == "str":
         plain = v.col.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
         return F.when(v.col.isNull(), None).when(plain, v.col.try_cast("double")).otherwise(F.raise_error(F.concat(F.lit("not a number: "), v.col)).cast("double"))
-    if v.type in ("date", "ts"):
-        raise refuse("a date is not a number")
+    if v.type in ("date", "ts", "time"):
+        raise refuse("a date or time is not a number")
     return v.col.cast("double")
 
 
@@ -173,9 +173,9 @@ def compare(op: str, a: Value, b: Value) -> Column:
     nested(a), nested(b)
     if a.type not in NUMERIC and (a.type == b.type or {a.type, b.type} <= {"date", "ts"}):
         x, y = a.col, b.col
-    elif "date" in (a.type, b.type) or "ts" in (a.type, b.type):
+    elif {"date", "ts", "time"} & {a.type, b.type}:
         if "null" not in (a.type, b.type):
-            raise refuse("dates compare with dates only")
+            raise refuse("dates compare with dates only, times with times")
         return F.lit(False)
     else:
         plain = _against(op, a, b)

@@ -110,6 +110,8 @@ def sort(data: Dataset, by, nodupkey: bool = False) -> Dataset:
 def _descending(frame, column: str) -> Column:
     """A key whose ascending order is the column's descending one."""
     kind, c = frame.schema[column].dataType.typeName(), quoted(column)
+    if kind.startswith("time") and not kind.startswith("timestamp"):
+        kind, c = "string", c.cast("string")
     if kind in ("string", "binary"):  # complement of the bytes, closed by a byte above all of them
         return F.when(c.isNotNull(), F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G")))
     if kind == "boolean":

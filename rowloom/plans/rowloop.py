@@ -110,6 +110,8 @@ def run_loop(step) -> dict[str, Dataset]:
     source = list(step.p.columns)
     inner = {c: f"c{i}" for i, c in enumerate(source)}
     hidden = {n: c for n, c in step.p.hidden.items()}
+    if "time" in {kinds.get(k) for k in step.names}:
+        raise StepError("RUNTIME_EXPRESSION_EVALUATION_ERROR", "a row loop takes no time columns: drop them, or use put(t, time.) before", "execute")
     columns = [quoted(c).alias(inner[c]) for c in source] + [F.col(c).alias(f"h{i}") for i, c in enumerate(hidden.values())]
     columns += [F.col("__n").alias("n")] if "_N_" in step.wanted else []
     offsets = list(lookahead)

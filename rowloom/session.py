@@ -26,6 +26,7 @@ MODES = ("auto", "rust", "python")
 class Session:
     def __init__(self, spark: SparkSession | None = None, macro_hook: Callable[[str], str] | None = None, **options):
         self.spark = spark or SparkSession.builder.getOrCreate()
+        self.spark.conf.set("spark.sql.timeType.enabled", "true")  # TIME columns are off by default
         self.datasets = Catalog(self.spark)
         self.formats = Formats()
         self.macro_hook = macro_hook

@@ -144,3 +144,19 @@ def test_dates_and_times(spark):
     s.load("a", [{"d": dt.date(2024, 2, 29), "t": dt.datetime(2024, 2, 29, 13, 45, 30)}])
     assert s.submit("data out; set a; y = year(d); z = year(t); h = hour(t); n = intck('month', d, mdy(1, 1, 2025)); e = d < mdy(3, 1, 2024); keep y z h n e; run;")
     assert [tuple(r.values()) for r in s.to_pylist("out")] == [(2024.0, 2024.0, pytest.approx(13.758333333333333), 11.0, True)]
+
+
+def test_time_columns(spark):
+    import pyarrow as pa
+
+    s = Session(spark)
+    times = [dt.time(10, 30), None, dt.time(23, 59, 59)]
+    s.load("a", pa.table({"t": pa.array(times, pa.time64("us")), "id": [1, 2, 3]}))
+    assert s.submit("data out; set a; h = hour(t); p = put(t, time.); q = cat(t); m = missing(t); e = t = t; g = lag(t) < t; run;")
+    got = [tuple(r.values()) for r in s.to_pylist("out")]
+    assert got == [(times[0], 1, 10.5, "10:30:00", "10:30:00", False, True, False), (None, 2, None, None, "", True, True, False), (times[2], 3, pytest.approx(23.999722222), "23:59:59", "23:59:59", False, True, False)]
+    s.sort("a", [("t", "descending")], out="b")
+    assert [r["id"] for r in s.to_pylist("b")] == [3, 1, 2]
+    assert s.submit("data c; set a; by t; f = first.t; keep id f; run;") and [r["id"] for r in s.to_pylist("c")] == [1, 3, 2]
+    assert not s.submit("data d; set a; x = t + 1; run;") and not s.submit("data d; set a; x = t < 5; run;")
+    assert s.submit("data d; set a; b + id; if b > 2 then b = 0; drop t; run;").log[-1].code == "RUNTIME_EXPRESSION_EVALUATION_ERROR"
