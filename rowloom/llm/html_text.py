@@ -16,7 +16,8 @@ other text that is not shown are no lines. The counts tell what each rule did: `
 White space inside a line becomes one space; lines are joined by one. Character references are decoded. Edge cases: null
 or empty html gives an empty text; pages without a host are paired like a host; a single page on a host has no
 neighbour; pages with the same lines in a row are one run with the same neighbours, the last different page before and
-the first after them, and get the same text; unclosed and mismatched tags are tolerated; extra columns do not matter.
+the first after them; what is deleted from a page is deleted from all equal pages of its host, so these get the same
+text; unclosed and mismatched tags are tolerated; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -252,31 +253,33 @@ def _borders(ordered: DataFrame) -> list[tuple[int, int]]:
 
 
 def _shared(before: tuple | None, run: list, after: tuple | None) -> Iterator[dict]:
-    """``row``, ``shared`` and ``lone`` of those pages of a run of equal ones that are not left as they are. Pages: (place, lines, inside, own)."""
+    """``same``, ``shared`` and ``lone`` of those pages of a run of equal ones that are not left as they are. Pages: (place, lines, inside, own, same)."""
     near = [(_agree(run[e][0][1], x[0][1]), x[1]) for e, x in ((0, before), (-1, after)) if x and x[0][0] == run[0][0][0]]
     lines = list(run[0][1])
     found = [common_lines(lines, list(x)) for _, x in sorted(near, key=lambda x: -x[0])] if lines else []
-    for place, _, inside, own in run:
-        if not own:
+    seen: set = set()  # pages of a run differ at most in what lies inside an article
+    for _, _, inside, own, same in run:
+        if not own or same in seen:
             continue
+        seen.add(same)
         total = sum(inside)
         if not found:
             if 0 < total < len(inside):
-                yield {"row": place[2], "shared": [], "lone": True}
+                yield {"same": same, "shared": [], "lone": True}
             continue
         shared = next((c for c in found if 2 * sum(inside[i] for i in c) <= total), None)
         if shared is None:
             shared = [i for i in found[0] if not inside[i]]
         if shared:
-            yield {"row": place[2], "shared": shared, "lone": False}
+            yield {"same": same, "shared": shared, "lone": False}
 
 
 def _difference(rows: DataFrame) -> DataFrame:
-    """``rows``: row, host, path, hashes, inside. Gives ``row``, the places of lines to delete as shared with the nearest neighbour, and whether there is none."""
+    """``rows``: row, host, path, hashes, inside, same. Gives for each ``same`` the places of lines to delete as shared with a nearest neighbour, and whether there is none."""
     kinds = rows.withColumn("kind", F.xxhash64("host", "hashes"))
     ordered = materialise(kinds.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row").withColumn("range", F.spark_partition_id()), "by-url")
     asked = rows.sparkSession.createDataFrame(_borders(ordered), "asking int, row long")  # two numbers a range
-    columns = ["host", "path", "row", "hashes", "range", "inside", "kind"]
+    columns = ["host", "path", "row", "hashes", "range", "inside", "kind", "same"]
     lent = ordered.join(F.broadcast(asked), "row").drop("range").withColumnRenamed("asking", "range").select(*columns, F.lit(False).alias("own"))
     met = ordered.select(*columns, F.lit(True).alias("own")).union(lent)
 
@@ -285,8 +288,8 @@ def _difference(rows: DataFrame) -> DataFrame:
         same: list = []
         kind, before = None, None
         for batch in batches:
-            for h, p, r, x, inside, k, own in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5, 6, 7)), strict=True):
-                page = ((h, p, r), x, inside, own)
+            for h, p, r, x, inside, k, equal, own in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5, 6, 7, 8)), strict=True):
+                page = ((h, p, r), x, inside, own, equal)
                 if same and k != kind:
                     out.extend(_shared(before, same, page))
                     before, same = same[-1], []
@@ -304,10 +307,12 @@ def _difference(rows: DataFrame) -> DataFrame:
     def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _each_range(batches, run)
 
-    return one.mapInArrow(by_range, "row long, shared array<int>, lone boolean")
+    found = one.mapInArrow(by_range, "same long, shared array<int>, lone boolean")
+    places = found.select("same", "lone", F.explode_outer("shared").alias("place"))
+    return places.groupBy("same").agg(F.sort_array(F.collect_set("place")).alias("shared"), F.max("lone").alias("lone"))  # a page's lines at most
 
 
-_SHARED = pa.schema([("row", pa.int64()), ("shared", pa.list_(pa.int32())), ("lone", pa.bool_())])
+_SHARED = pa.schema([("same", pa.int64()), ("shared", pa.list_(pa.int32())), ("lone", pa.bool_())])
 
 
 def _each_range(batches: Iterator[pa.RecordBatch], run) -> Iterator[pa.RecordBatch]:
@@ -338,11 +343,11 @@ def _cut(batches: Iterator[pa.RecordBatch]):
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row a page: page_id, url, text, n_chars, and the counts n_lines, n_marked, n_shared, n_by_difference."""
-    parsed = materialise(_parse(pages, page_id, url, html).withColumn("row", F.monotonically_increasing_id()), "parsed")
-    shared = materialise(_difference(parsed.select("host", "path", "row", "hashes", "inside")), "shared")
+    parsed = materialise(_parse(pages, page_id, url, html).withColumns({"row": F.monotonically_increasing_id(), "same": F.xxhash64("host", "hashes", "inside")}), "parsed")
+    shared = materialise(_difference(parsed.select("host", "path", "row", "hashes", "inside", "same")), "shared")
     if (shared.agg(F.sum(F.size("shared") * 4 + 64)).first()[0] or 0) <= BROADCAST_BYTES:
         shared = F.broadcast(shared)  # checked: so few bytes; the texts need no shuffle then
-    rows = parsed.select("row", "page_id", "url", "texts", "inside", "marked").join(shared, "row", "left")
+    rows = parsed.select("same", "page_id", "url", "texts", "inside", "marked").join(shared, "same", "left")
     guarded = F.coalesce("lone", F.lit(False))
     by_tag = lambda i: F.get("marked", i) | (guarded & ~F.get("inside", i))
     by_difference = lambda i: F.coalesce(F.array_contains("shared", i), F.lit(False))

@@ -73,7 +73,7 @@ def brute_extract(pages):
         m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
         place[p] = ((m[1].lower(), m[2]) if m else ("", ""), brute_lines(page))
     order = sorted(place, key=lambda p: (place[p][0], p))
-    out = {}
+    out, deleted = {}, {}
     for i, p in enumerate(order):
         (host, path), lines = place[p]
         words = [t for t, _, _ in lines]
@@ -91,6 +91,10 @@ def brute_extract(pages):
                 break
         if gone is None:
             gone = {k for k in found[0] if not lines[k][1]} if found else {k for k, x in enumerate(lines) if not x[1]}
+        deleted.setdefault((host, str(lines)), set()).update(gone)
+        out[p] = host, lines, bool(found)
+    for p, (host, lines, found) in out.items():  # equal pages of a host lose the same lines
+        gone = deleted[host, str(lines)]
         out[p] = " ".join(t for k, (t, _, mark) in enumerate(lines) if not mark and k not in gone), len([k for k in gone if found and not lines[k][2]])
     return out
 
@@ -171,3 +175,12 @@ def test_differencing_past_runs_of_equal_pages(spark):
     want = {i: "copied text" for i in range(200)} | {500: "before", 600: "after"}
     for parts, lone in ((1, rows), (4, rows), (4, rows[:-1]), (4, [r for r in rows if r[0] != 500])):
         assert extracted(spark, lone, parts) == {i: want[i] for i, _, _ in lone}
+
+
+def test_equal_pages_of_a_host_get_equal_text(spark):
+    page = lambda *own: "<body>" + "".join(f"<p>{x}</p>" for x in own) + "</body>"
+    rows = [(1, "http://h/a/1", page("top", "same one", "same two")), (2, "http://h/a/2", page("top", "x", "y")), (3, "http://h/m/3", page("nothing", "in common"))]
+    rows += [(4, "http://h/z/4", page("top", "same one", "same two")), (5, "http://h/z/5", page("p", "q", "same two")), (6, "http://other/4", page("top", "same one", "same two"))]
+    for parts in (1, 3):
+        got = extracted(spark, rows, parts)
+        assert got == {1: "same one", 2: "x y", 3: "nothing in common", 4: "same one", 5: "p q", 6: "top same one same two"}
