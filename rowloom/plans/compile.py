@@ -451,17 +451,13 @@ class Step:
             frame = self.frame.select(*hidden, F.explode(F.array_compact(F.array(*items))).alias("__row"))
             frame = frame.select(*[F.col(f"__row.`{n}`").alias(n) for n in self.names.values()], *order, F.col("__row.__e").alias("__e"))
             order.append("__e")
-        frame = frame.select(*[quoted(n) for n in self.names.values()], *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)])
+        names, places = list(self.names.values()), [F.col(o).alias(f"__o{i}") for i, o in enumerate(order)]
+        frame = V.snap_frame(frame, names, places) if self.options.snap_floats else frame.select(*[quoted(n) for n in names], *places)
         return shape(self, key, Dataset(frame, tuple(f"__o{i}" for i in range(len(order)))))
 
     def export(self, key: str, v: Value, kind: str) -> Column:
-        if v.type == "other" or (key in self.source and v is self.source[key] and kind == v.type):
-            col = v.col
-            if self.options.snap_floats and v.type == "num" and self.types[key].typeName() == "double":
-                col = V.snap(col)
-            return col
-        col = V.cast(v, kind)
-        return V.snap(col) if self.options.snap_floats and kind == "num" else col
+        """The value as the output has it, but for the snapping of doubles."""
+        return v.col if v.type == "other" or (key in self.source and v is self.source[key] and kind == v.type) else V.cast(v, kind)
 
 
 def shape(step: Step, key: str, data: Dataset) -> Dataset:

@@ -177,12 +177,11 @@ def run_loop(step) -> dict[str, Dataset]:
     result = ordered.mapInArrow(run, schema)
     finished = {}
     for key in step.refs:
-        picked = []
-        for i, (_, n) in enumerate(names):
-            col = F.col(f"v{i}")
-            picked.append((V.snap(col) if step.options.snap_floats and schema[f"v{i}"].dataType == T.DoubleType() else col).alias(n))
+        picked = [F.col(f"v{i}").alias(n) for i, (_, n) in enumerate(names)]
         hidden = (*[f"__{c}" for c in places], "__o0")
-        finished[key] = shape(step, key, Dataset(result.where(F.col("t") == key).select(*picked, *hidden), hidden))
+        frame = result.where(F.col("t") == key).select(*picked, *hidden)
+        frame = V.snap_frame(frame, [n for _, n in names], [F.col(c) for c in hidden]) if step.options.snap_floats else frame
+        finished[key] = shape(step, key, Dataset(frame, hidden))
     return finished
 
 
