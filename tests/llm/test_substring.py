@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from rowloom.llm import align, queries, substring
 
@@ -218,3 +219,38 @@ def test_edge_cases(spark):
     assert {r[k] for r in got for k in ("doc_id", "other_doc_id")} == {1, 2, None}
     assert all((r["start_word"], r["end_word"], r["similarity"]) == (0, 70, 1.0) for r in got)
     assert substring.passages(docs.limit(0)).count() == 0
+
+
+def test_chains_of_a_pair_are_one_row_a_document(spark, monkeypatch):
+    rng = random.Random(13)
+    fresh = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    phrase, passage = fresh(3), fresh(60)
+    docs = [(i, " ".join(fresh(10) + phrase * (40 + 10 * i) + fresh(20) + passage)) for i in range(6)]
+    kept, plain = {}, substring.materialise
+    monkeypatch.setattr(substring, "materialise", lambda df, name: kept.setdefault(name, plain(df, name)))
+    rows = substring.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert max(r["n_passages"] for r in rows) > 10
+    pairs = kept["chains"].select("pair").distinct().count()
+    assert pairs and kept["chains"].count() == 2 * pairs
+
+
+def test_ranges_asked_of_a_document_are_cut_from_what_they_cover():
+    rng = random.Random(14)
+    for n_ranges in (1, 2, 3, 30):
+        words = [f"w{i}" for i in range(300)]
+        ranges = [(low := rng.randrange(300), low + rng.randint(1, 60), 3, 5) for _ in range(n_ranges)]
+        places, stretches = substring._asked(np.array(ranges, np.int32).tobytes(), len(words))
+        cut = [w for low, high in stretches for w in words[low:high]]
+        assert len(cut) == len(set(cut)) == len({i for low, high, *_ in ranges for i in range(low, min(high, 300))})
+        for (low, high, left, right), (at, size, *rest) in zip(ranges, np.frombuffer(places, np.int32).reshape(-1, 5).tolist(), strict=True):
+            assert cut[at : at + size] == words[low:high] and rest == [low, left, right]
+
+
+def test_cut_words_of_a_long_document_are_passed_on_in_small_batches():
+    text = " ".join(f"w{i}" for i in range(20_000))
+    asked = np.array([0, 20_000, 0, 20_000], np.int32).tobytes()
+    n = 400
+    columns = {"kind": [0] + [1] * n, "doc_id": [7] + [None] * n, "text": [text] + [None] * n, "pair": [None, *range(n)], "side": [None] + [0] * n, "ranges": [None] + [asked] * n}
+    out = list(substring._cut(iter([pa.RecordBatch.from_pydict(columns)])))
+    assert sum(b.num_rows for b in out) == n and max(b.nbytes for b in out) < 2 * substring.BATCH_BYTES
+    assert all(w.as_py() == text.encode() for b in out for w in b.column(4))
