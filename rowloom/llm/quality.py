@@ -13,6 +13,7 @@ each get their row; an unknown or null language falls back to the script; extra
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -52,6 +53,7 @@ WIDEST = Band(0.2, 8.0, 0.95, 2.0, 0.2)
 LEADS = {"latin": [(65, 91), (97, 123), (0xC3, 0xCA)], "greek": [(0xCD, 0xD0)], "cyrillic": [(0xD0, 0xD4)], "hebrew": [(0xD6, 0xD8)], "arabic": [(0xD8, 0xDC)], "indic": [(0xE0, 0xE1)], "east asian": [(0xE3, 0xEE)]}
 ENTROPY_FROM = 200
 KEEP_WORDS = 400_000  # words whose pieces a worker remembers
+ODD_SPACE = re.compile(r"[^\S ]").search
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_per_token double, byte_share double, token_bits double, chars_per_token_bpe double, script long"
 _SYMBOL = np.zeros(256, bool)
@@ -76,33 +78,74 @@ class Vocabularies:
         with open(bpe_ranks, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bpe_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.bpe_bytes[list(ranks.values())] = [len(b) for b in ranks]
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys = np.zeros(0, U64)  # hashes of the words remembered, ascending
+        self.place = np.zeros(0, np.int64)  # where each of them is in the arrays below
         self.flat = np.zeros(0, np.int32)  # the pieces of all words remembered, one after another
         self.begin = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.other = np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)  # calls that asked for it, halved whenever words are forgotten
+
+    def forget(self) -> None:
+        """Keep the more used half of the words; most words of a large table come once."""
+        least = len(self.used) - KEEP_WORDS // 2
+        kept = np.sort(np.argpartition(self.used, least)[least:])
+        now = np.full(len(self.used), -1)
+        now[kept] = np.arange(len(kept))
+        still = now[self.place] >= 0
+        self.keys, self.place = self.keys[still], now[self.place[still]]
+        self.flat = self.flat[_ranges(self.begin[kept], self.size[kept])]
+        self.size, self.other, self.used = self.size[kept], self.other[kept], self.used[kept] >> 1
+        self.begin = np.cumsum(self.size) - self.size
 
     def look_up(self, hashes: np.ndarray, text_of) -> np.ndarray:
-        """Places of distinct words, given by hash, in ``begin``, ``size`` (pieces in ``flat``) and ``other`` (BPE pieces)."""
-        if len(self.place) > KEEP_WORDS:
-            self.clear()
-        keys = hashes.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.place]
-        if new:
-            words = [text_of(i) for i in new]
-            found = self.pieces.encode(words, num_threads=1)
+        """Places of distinct words, given by ascending hashes, in ``begin``, ``size`` (pieces in ``flat``) and ``other`` (BPE pieces).
+
+        ``text_of`` gives the text of those at some places of ``hashes``, with a space between words."""
+        if len(self.keys) > KEEP_WORDS:
+            self.forget()
+        at = np.searchsorted(self.keys, hashes)
+        known = np.append(self.keys, U64(0))[at] == hashes
+        known &= at < len(self.keys)
+        out = np.empty(len(hashes), np.int64)
+        out[known] = self.place[at[known]]
+        self.used[out[known]] += 1
+        new = np.flatnonzero(~known)
+        if len(new):
+            text = text_of(new)
+            found = self.pieces.encode(text.split(" "), num_threads=1)
             size = np.fromiter(map(len, found), np.int64, len(found))
-            encode = self.bpe.encode_ordinary
-            other = np.fromiter((len(encode(" " + w)) for w in words), np.int64, len(words))
-            self.place.update(zip((keys[i] for i in new), range(len(self.begin), len(self.begin) + len(new)), strict=True))
+            out[new] = len(self.begin) + np.arange(len(new))
+            self.keys, self.place = np.insert(self.keys, at[new], hashes[new]), np.insert(self.place, at[new], out[new])
             self.begin = np.append(self.begin, len(self.flat) + np.cumsum(size) - size)
             self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())))
-            self.size, self.other = np.append(self.size, size), np.append(self.other, other)
-        return np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+            self.size, self.other = np.append(self.size, size), np.append(self.other, self.bpe_pieces(text))
+            self.used = np.append(self.used, np.ones(len(new), np.int64))
+        return out
+
+    def bpe_pieces(self, text: str) -> np.ndarray:
+        """How many pieces the BPE makes of each word (and a space before it) of ``text``, which has a space between words.
+
+        The pre-tokenizer cuts before a space that follows anything but white space, so such words are encoded in one call."""
+        words = text.split(" ")
+        odd = [i for i, w in enumerate(words) if not w or ODD_SPACE(w)] if ODD_SPACE(text) or not all(words) else []
+        out = np.zeros(len(words), np.int64)
+        for i in odd:
+            out[i] = len(self.bpe.encode_ordinary(" " + words[i]))
+        plain = np.delete(np.arange(len(words)), odd)
+        if len(plain):
+            rest = " " + (text if not odd else " ".join([words[i] for i in plain.tolist()]))
+            upto = np.cumsum(self.bpe_bytes[self.bpe.encode_ordinary(rest)])
+            raw = np.frombuffer(rest.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
+            out[plain] = np.diff(np.searchsorted(upto, ends, "right"), prepend=0)
+        return out
 
 
 _held: dict[tuple[str, str], Vocabularies] = {}
@@ -163,7 +206,13 @@ def measure(data: np.ndarray, offsets: np.ndarray, vocabularies: Vocabularies |
         return out
     out["script"] = _scripts(data, offsets)
     distinct, seen, which = np.unique(words.hash, return_index=True, return_inverse=True)
-    text_of = lambda i: raw[words.start[seen[i]] : words.end[seen[i]]].decode()
+
+    def text_of(i: np.ndarray) -> str:
+        start, size = words.start[seen[i]], words.end[seen[i]] - words.start[seen[i]] + 1
+        some = np.append(data, np.uint8(32))[_ranges(start, size)]
+        some[np.cumsum(size) - 1] = 32
+        return some[:-1].tobytes().decode()
+
     place = vocabularies.look_up(distinct, text_of)[which]
     of_word = vocabularies.size[place]
     tokens = vocabularies.flat[_ranges(vocabularies.begin[place], of_word)]

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from rowloom.llm import quality, queries
 
 
@@ -92,3 +94,42 @@ def test_edge_cases(spark):
     kept = quality.filter_rejected(docs, queries.vocabulary("piece_bpe_32k.model"), queries.vocabulary("byte_bpe_50k.tiktoken"))
     assert kept.columns == docs.columns and kept.count() == 0
     assert judge(docs.drop("n_words").limit(0), ["doc_id"]).count() == 0
+
+
+def measured(texts, vocabularies):
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    return quality.measure(np.frombuffer(b"".join(raw), np.uint8), offsets, vocabularies)
+
+
+def test_words_used_again_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(quality, "KEEP_WORDS", 60)
+    vocabularies = quality.Vocabularies(queries.vocabulary("piece_bpe_32k.model"), queries.vocabulary("byte_bpe_50k.tiktoken"))
+    plain = vocabularies.pieces
+    asked = Counter()
+
+    class Counting:
+        def encode(self, words, **options):
+            asked.update(words)
+            return plain.encode(words, **options)
+
+    vocabularies.pieces = Counting()
+    often = [f"often{i}" for i in range(20)]
+    for k in range(30):  # 20 words of each text come again, 10 never do
+        text = " ".join(often + [f"once{k}x{i}" for i in range(10)])
+        got = measured([text], vocabularies)
+        ids = plain.encode(text.split())
+        assert got["chars_per_token"][0] == sum(map(len, text.split())) / sum(map(len, ids))
+        assert got["chars_per_token_bpe"][0] == sum(map(len, text.split())) / sum(len(vocabularies.bpe.encode_ordinary(" " + w)) for w in text.split())
+    assert all(asked[w] == 1 for w in often)
+
+
+def test_bpe_pieces_of_words_with_odd_spaces():
+    vocabularies = quality.Vocabularies(queries.vocabulary("piece_bpe_32k.model"), queries.vocabulary("byte_bpe_50k.tiktoken"))
+    odd = ["a\u00a0", "\u00a0a", "\u2003", "\u00a0\u00a0", "x\u3000\u3000y", "\x1c", "\x85z", "it's", "'s", "naïve", "日本語", "a,b.", "١٢x", "e\u0301", "\U0001f600"]
+    rng = random.Random(5)
+    texts = [" ".join(rng.sample(odd, rng.randint(1, len(odd)))) for _ in range(60)]
+    for text in texts:
+        words = text.split(" ")
+        want = sum(len(vocabularies.bpe.encode_ordinary(" " + w)) for w in words)
+        assert measured([text], vocabularies)["chars_per_token_bpe"][0] == sum(map(len, words)) / want
