@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pyarrow as pa
 import pytest
@@ -324,3 +325,41 @@ def test_transpose_refuses_too_many_columns(s, monkeypatch):
 def test_apply_of_whole_series(s):
     assert s.submit("data out; set t; y = apply('f', x, z); run;", t=table("x z", (1.0, 2.0), (3.0, None)), functions={"f": (lambda a, b: a + b.fillna(0), "double", True)})
     assert rows(s) == [(1.0, 2.0, 3.0), (3.0, None, 3.0)]
+
+
+def exported(x):
+    """The shortest rounding within 1e-12, relative above 1, halves away from zero."""
+    if x is None or not math.isfinite(x):
+        return x
+    for p in range(14):
+        y = abs(x) * 10.0**p
+        whole = float(math.floor(y))
+        rounded = (whole + (y - whole >= 0.5)) / 10.0**p
+        if abs(rounded - abs(x)) <= 1e-12 * max(1.0, abs(x)):
+            return math.copysign(rounded, x) + 0.0
+    return x
+
+
+def test_exported_doubles_round_halves_away_from_zero(s):
+    rng = random.Random(3)
+    given = [0.1234567890125, 1324101562.0285, 594362523.4485, 5e11 + 0.5, 500000000.0005, 2.0**52 + 1, 2.0**53 - 1, 2.0**63 + 2048, 1e300, math.inf, 0.0, 0.49999999999999994, 5e-13, 1.5e-12, 0.1 + 0.2, 1 / 3, None]
+    given += [rng.randrange(10**13) / 10**13 for _ in range(300)] + [rng.randrange(5 * 10**12, 5 * 10**13) / 1e4 for _ in range(300)] + [rng.random() * 10.0 ** rng.randrange(-14, 20) for _ in range(300)]
+    given += [-x for x in given if x is not None]
+    s.load("a", pa.table({"x": given}))
+    assert s.submit("data out; set a; run;")
+    got = [x for (x,) in rows(s)]
+    assert [repr(x) for x in got] == [repr(exported(x)) for x in given]
+    assert got[:3] == [0.123456789013, 1324101562.029, 594362523.449]
+
+
+def test_exp_of_columns_is_that_of_the_row_loop(s):
+    rng = random.Random(3)
+    given = [rng.uniform(-745, 709) for _ in range(1000)] + [0.0, 1.0, -1.0, 709.782712893384, 709.7827128933841, 800.0, -745.14, -800.0, math.inf, -math.inf]
+    s = Session(s.spark, snap_floats=False)
+    s.load("a", pa.table({"x": [*given, math.nan, None]}))
+    assert s.submit("data out; set a; y = exp(x); keep y; run;")
+    *got, nan, missing = [y for (y,) in rows(s)]
+    want = [math.exp(x) if x < 709.7827128933841 else math.inf for x in given]
+    assert got[1000:] == want[1000:] and math.isnan(nan) and missing == 1.0
+    assert sum(a != b for a, b in zip(got, want, strict=True)) <= 10
+    assert all(abs(a - b) <= math.ulp(b) for a, b in zip(got[:1000], want, strict=False))
